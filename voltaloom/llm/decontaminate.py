@@ -10,13 +10,14 @@ with the whole item, so edited and paraphrased copies score by what they keep.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import HashCache, hash_words, ngram_hashes
+from voltaloom.llm.common import ngram_hashes
 
 #: Words of a seed; words that an item needs to be looked for; characters of a block of items.
 SEED, LEAST_WORDS, BLOCK_CHARS = 4, 8, 8_000_000
@@ -54,21 +55,33 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * max(1, len(item))), *span
 
 
+def _gram(h: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """ngram_hashes at some places only."""
+    return ngram_hashes(np.stack([h[places + i] for i in range(SEED)]), SEED)[0] if len(places) else np.empty(0, np.uint64)
+
+
 class Items:
     """One block of items: word hashes and the places of their n-grams."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        cache = HashCache()
         self.words = {}
+        self.vocabulary: dict[str, int] = {}
         self.places: dict[int, list[tuple[int, int]]] = {}
         for item, text in rows:
-            h = hash_words(words_of(text), cache)
+            w = words_of(text)
+            for x in w:
+                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
+            h = self.numbers(w)
             if len(h) >= LEAST_WORDS:
                 self.words[item] = h
                 for at, g in enumerate(ngram_hashes(h, SEED).tolist()):
                     self.places.setdefault(g, []).append((item, at))
         self.sorted = np.array(sorted(self.places), np.uint64)
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Each word's number in the block's vocabulary; 0, which no item holds, for all others."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+
     def keep_rare(self, df: dict[int, int]) -> None:
         grams: dict[int, list[int]] = {}
         for g, where in self.places.items():
@@ -78,40 +91,42 @@ class Items:
         self.places = {g: kept for g, where in self.places.items() if (kept := [(i, p) for i, p in where if df.get(g, 0) <= limit[i]])}
         self.sorted = np.array(sorted(self.places), np.uint64)
 
-    def found(self, h: np.ndarray) -> np.ndarray:
-        """Places of n-grams of h that are n-grams of an item."""
-        g = ngram_hashes(h, SEED)
-        if not len(g) or not len(self.sorted):
-            return np.empty(0, np.int64)
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the n-grams of h that are n-grams of an item."""
+        known, n = h > 0, len(h) - SEED + 1
+        if n < 1 or not len(self.sorted):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        full = known[:n].copy()
+        for i in range(1, SEED):
+            full &= known[i : i + n]
+        places = np.nonzero(full)[0]
+        g = ngram_hashes(h, SEED)[places] if 4 * len(places) > n else _gram(h, places)
         at = np.minimum(np.searchsorted(self.sorted, g), len(self.sorted) - 1)
-        return np.nonzero(self.sorted[at] == g)[0]
+        ok = self.sorted[at] == g
+        return places[ok], g[ok]
 
 
 def _count(items: Items):
     def run(batches):
-        cache = HashCache()
         for batch in batches:
             seen: dict[int, int] = {}
             for text in batch.column("text").to_pylist():
-                h = hash_words(words_of(text), cache)
-                at = items.found(h)
-                if len(at):
-                    for g in set(ngram_hashes(h, SEED)[at].tolist()):
-                        seen[g] = seen.get(g, 0) + 1
+                for g in set(items.found(items.numbers(words_of(text)))[1].tolist()):
+                    seen[g] = seen.get(g, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["gram", "df"])
 
     return run
 
 
-def leaks(items: Items, words: list[str], cache: HashCache, known: dict) -> list[tuple[int, float, int, int]]:
+def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of each item with a seed in words: its best alignment."""
-    h = hash_words(words, cache)
-    at = items.found(h)
+    h = items.numbers(words)
+    at, grams = items.found(h)
     if not len(at):
         return []
-    grams, starts = ngram_hashes(h, SEED), {}
-    for p in at.tolist():
-        for item, q in items.places[int(grams[p])]:
+    starts: dict[int, set[int]] = {}
+    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
+        for item, q in items.places[g]:
             starts.setdefault(item, set()).add(p - q)
     out = []
     for item, begins in sorted(starts.items()):
@@ -136,9 +151,9 @@ def leaks(items: Items, words: list[str], cache: HashCache, known: dict) -> list
 
 def _scan(items: Items, threshold: float):
     def run(batches):
-        cache, known = HashCache(), {}
+        known: dict = {}
         for batch in batches:
-            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), cache, known) if x[1] >= threshold]
+            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known) if x[1] >= threshold]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
