@@ -17,12 +17,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that the cache holds at most.
-CACHE = 250_000
+CACHE = 800_000
 
 _UNSAFE = re.compile(r" (?=\s)| \Z")
+_COMBINING = re.compile("[\u0300-\u036f]")
+#: ASCII marks other than ' and _ from a letter to the end of its word: every pre-tokenizer here makes them a piece.
+_STOP = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\\[-^`{-~]+)(?=[ \n]|\\Z)")
+#: Pieces of a text: a word of letters that only such marks end; the marks; any other word; one white space character; more of them with the word after.
+_PIECE = re.compile("|".join((
+    " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[!-&(-/:-@\\[-^`{-~]*(?:[ \n]|\\Z))",
+    "[!-&(-/:-@\\[-^`{-~]+(?=[ \n]|\\Z)",
+    r" ?\S+", r"[^\S ](?!\s)", r"[^\S ](?= )", r"[^\S ]+\S*",
+)))
 _encoders: dict[str, Encoder] = {}
 
 
+class _Ids(dict):
+    """Piece to its ids; what came first stays, as frequent pieces are among it."""
+
+    def __init__(self, tokenizer, dtype: np.dtype):
+        super().__init__()
+        self.tokenizer, self.dtype = tokenizer, dtype
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+        if len(self) < CACHE:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -44,29 +67,22 @@ class Encoder:
         elif kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and "\\s" in split["pattern"]["Regex"]:
             self.kind = "word"
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.ids: dict[str, bytes] = {}
+        self.ids = _Ids(self.tokenizer, self.dtype)
         self.spans: dict[str, tuple[bytes, bytes]] = {}
 
     def pieces(self, text: str) -> list[str]:
-        if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        if self.kind == "byte" and "\0" not in text and not _UNSAFE.search(text):
-            return text.replace(" ", "\0 ").split("\0")
+        if self.kind == "word":  # lower case, white space dropped: fewer distinct pieces give the same ids
+            if not _COMBINING.search(text):
+                text = text.encode("utf-8", "replace").lower().decode()  # A-Z only
+            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        if self.kind == "byte" and not _UNSAFE.search(text):
+            return _PIECE.findall(text)
         return [text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.ids)
-        if new:
-            if len(self.ids) + len(new) > CACHE:
-                self.ids.clear()
-                new = set().union(*cut)
-            names = list(new)
-            for name, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True):
-                self.ids[name] = np.array(e.ids, self.dtype).tobytes()
         get = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), self.dtype) for c in cut]
+        return [np.frombuffer(b"".join(map(get, self.pieces(t))), self.dtype) for t in texts]
 
     def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Character spans (starts, ends) of each text's tokens, as the library gives them for the whole text."""
