@@ -30,14 +30,19 @@ COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 
 
+#: Bit lengths of all 16-bit numbers.
+_LENGTHS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
 def _bits(v: np.ndarray) -> np.ndarray:
     """Bit length of each value."""
-    b = np.zeros(v.shape, np.uint8)
-    for k in (32, 16, 8, 4, 2, 1):
-        big = (v >> np.uint64(k)) > 0
-        b += (k * big).astype(np.uint8)
-        v = np.where(big, v >> np.uint64(k), v)
-    return b + (v > 0).astype(np.uint8)
+    if not len(v) or int(v.max()) < 1 << 16:
+        return _LENGTHS[v.astype(np.uint16)]
+    out = np.zeros(v.shape, np.uint8)
+    for k in range(4):
+        part = ((v >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.uint16)
+        np.maximum(out, np.where(part > 0, _LENGTHS[part] + np.uint8(16 * k), np.uint8(0)), out=out)
+    return out
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +56,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(blocks * BLOCK, np.uint64)
     full[:n] = values
     grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
-    bits = _bits(grid)
-    reach = {1: bits}
+    reach = {1: _bits(grid.reshape(-1)).reshape(grid.shape)}
     while 2 * max(reach) <= wide:
         k = max(reach)
         top = reach[k].copy()
@@ -63,19 +67,19 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = COUNTS[sel]
         k = 1 << (c.bit_length() - 1)
         most = np.maximum(reach[k][:, :BLOCK], reach[k][:, c - k : c - k + BLOCK])
-        choice = np.where(most <= WIDTHS[sel], np.uint8(sel), choice)
-    step = np.array(COUNTS)[choice]
+        choice[most <= WIDTHS[sel]] = sel
+    step = np.array(COUNTS)[choice].reshape(-1)
     ends = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
     at, live, starts, owners = np.zeros(blocks, np.int64), np.arange(blocks), [], []
     while len(live):  # all blocks take a step together
         starts.append(at[live])
         owners.append(live)
-        at[live] += step[live, at[live]]
+        at[live] += step[live * BLOCK + at[live]]
         live = live[at[live] < ends[live]]
     s, o = np.concatenate(starts), np.concatenate(owners)
     order = np.lexsort((s, o))
     s, o = s[order], o[order]
-    sel = choice[o, s]
+    sel, cells, flat = choice[o, s], grid.reshape(-1), o * (BLOCK + wide) + s
     size = np.where(sel == 0, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -84,13 +88,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             continue
         if k == 0:
-            words[place[at] + 1] = grid[o[at], s[at]]
+            words[place[at] + 1] = cells[flat[at]]
             continue
         c, w = COUNTS[k], WIDTHS[k]
         packed = np.full(len(at), np.uint64(k) << np.uint64(60), np.uint64)
         if w:
+            first = flat[at]
             for j in range(c):
-                packed |= grid[o[at], s[at] + j] << np.uint64(j * w)
+                packed |= cells[first + j] << np.uint64(j * w)
         words[place[at]] = packed
     offsets = np.zeros(blocks + 1, np.uint64)
     np.cumsum(np.bincount(o, weights=size, minlength=blocks).astype(np.uint64), out=offsets[1:])
