@@ -53,9 +53,9 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(1, np.uint64)
     wide = max(COUNTS)
     grid = np.zeros((blocks, BLOCK + wide), np.uint64)
-    full = np.zeros(blocks * BLOCK, np.uint64)
-    full[:n] = values
-    grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
+    whole = n // BLOCK
+    grid[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    grid[whole:, : n - whole * BLOCK] = values[whole * BLOCK :]
     reach = {1: _bits(grid.reshape(-1)).reshape(grid.shape)}
     while 2 * max(reach) <= wide:
         k = max(reach)
@@ -68,7 +68,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = 1 << (c.bit_length() - 1)
         most = np.maximum(reach[k][:, :BLOCK], reach[k][:, c - k : c - k + BLOCK])
         choice[most <= WIDTHS[sel]] = sel
-    step = np.array(COUNTS)[choice].reshape(-1)
+    step = np.array(COUNTS, np.uint8)[choice].reshape(-1)
     ends = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
     at, live, starts, owners = np.zeros(blocks, np.int64), np.arange(blocks), [], []
     while len(live):  # all blocks take a step together
@@ -76,9 +76,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owners.append(live)
         at[live] += step[live * BLOCK + at[live]]
         live = live[at[live] < ends[live]]
-    s, o = np.concatenate(starts), np.concatenate(owners)
-    order = np.lexsort((s, o))
-    s, o = s[order], o[order]
+    o, s = np.divmod(np.sort(np.concatenate(owners) * BLOCK + np.concatenate(starts)), BLOCK)
     sel, cells, flat = choice[o, s], grid.reshape(-1), o * (BLOCK + wide) + s
     size = np.where(sel == 0, 2, 1)
     place = np.cumsum(size) - size
