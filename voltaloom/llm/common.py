@@ -34,10 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 256):
+    """The batches in slices, so that what Python holds of texts at once stays small."""
+    for batch in batches:
+        for lo in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(lo, rows)
+
+
 class HashCache(dict):
     """Word (bytes) to a 64-bit hash; holds at most `limit` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 1 << 18):
+    def __init__(self, limit: int = 1 << 17):
         super().__init__()
         self.limit = limit
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import ngram_hashes
+from voltaloom.llm.common import ngram_hashes, small
 
 #: Words of a seed; words that an item needs to be looked for; characters of a block of items.
 SEED, LEAST_WORDS, BLOCK_CHARS = 4, 8, 8_000_000
@@ -108,7 +108,7 @@ class Items:
 
 def _count(items: Items):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             seen: dict[int, int] = {}
             for text in batch.column("text").to_pylist():
                 for g in set(items.found(items.numbers(words_of(text)))[1].tolist()):
@@ -152,7 +152,7 @@ def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float,
 def _scan(items: Items, threshold: float):
     def run(batches):
         known: dict = {}
-        for batch in batches:
+        for batch in small(batches):
             rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known) if x[1] >= threshold]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])

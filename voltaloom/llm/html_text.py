@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize
+from voltaloom.llm.common import materialize, small
 
 CONSTANT, LEAST_PAGES, MAX_BROADCAST = 0.8, 8, 32_000_000
 
@@ -327,7 +327,7 @@ def _sources(batch, refs):
 def _survey(refs):
     def run(batches):
         held: dict[str, Reference] = {}
-        for batch in batches:
+        for batch in small(batches):
             seen: dict[tuple, int] = {}
             for host, source, (ref_html, _) in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), _sources(batch, refs), strict=True):
                 ref = _lookup(held, host, ref_html)
@@ -344,7 +344,7 @@ def _survey(refs):
 def _extract(refs):
     def run(batches):
         held: dict[str, Reference] = {}
-        for batch in batches:
+        for batch in small(batches):
             texts = [extract(s, _lookup(held, h, r) if c else None, c) for h, s, (r, c) in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), _sources(batch, refs), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import HashCache, components, hash_words, materialize, ngram_hashes
+from voltaloom.llm.common import HashCache, components, hash_words, materialize, ngram_hashes, small
 
 #: Buckets of up to so many nodes form pairs by a join.
 SMALL = 32
@@ -45,8 +45,9 @@ def shingle_set(text: bytes | None, k: int, cache: HashCache) -> np.ndarray:
     return np.unique(ngram_hashes(h, min(k, len(words))) + np.uint64(min(k, len(words)) % k))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch):
+    for b in small([batch]):
+        yield from b.column("text").cast(pa.binary()).to_pylist()
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -120,7 +121,7 @@ def _prefixes(k: int, percent: int, frequent):
 
     def run(batches):
         cache, (common, counts) = HashCache(), frequent.value
-        for batch in batches:
+        for batch in small(batches):
             ids, n, l, d1, d2, pre, sig = batch.column("doc_id").to_pylist(), [], [], [], [], [], []
             at = []
             for row, text in enumerate(_texts(batch)):
@@ -273,7 +274,7 @@ def _search(percent: int, across: bool):
 def _verify(k: int, percent: int):
     def run(batches):
         cache = HashCache()
-        for batch in batches:
+        for batch in small(batches):
             left, right, last, sa = [], [], None, None
             for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta").cast(pa.binary()).to_pylist(), batch.column("tb").cast(pa.binary()).to_pylist(), strict=True):
                 if ta != last:

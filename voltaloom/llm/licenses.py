@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize
+from voltaloom.llm.common import materialize, small
 
 # Short notices as they are commonly written, by SPDX name.
 TEMPLATES = {
@@ -46,7 +46,7 @@ _CUES = re.compile("licen[sc]e|copyright|rights reserved|public domain|redistrib
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in small(batches):
         seen, n = Counter(), 0
         for t in batch.column("text").to_pylist():
             n += 1
@@ -95,7 +95,7 @@ class Matcher:
 
 def _scan(matcher: Matcher):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [matcher.scan(t) for t in batch.column("text").to_pylist()]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), *cols], ["doc_id", "path", "own", "cosine", "is_file"])

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize
+from voltaloom.llm.common import materialize, small
 
 CHUNK_WORDS, LONG_LINE = 12, 25
 MIN_WORDS = 40
@@ -59,7 +59,7 @@ def _rows(batch, *names):
 
 
 def _hashes(batches):
-    for batch in batches:
+    for batch in small(batches):
         got = [(i, chunks(t)) for i, t in _rows(batch, "doc_id", "text") if i is not None and t]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([[c[0] for c in x] for _, x in got], pa.list_(pa.int64()))], ["doc_id", "h"])
 
@@ -71,7 +71,7 @@ def _occurrences(min_words: int):
     """Of each document, the chunks that stand first in the corpus, and repeated ones in runs that may reach min_words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for i, t, marks in _rows(batch, "doc_id", "text", "marks"):
                 c = chunks(t)
@@ -115,7 +115,7 @@ def _same(a: bytes, b: bytes, back: bool) -> int:
 
 def _compare(batches):
     """Byte comparison with the first occurrence, and how many lines of the chunks beside also agree."""
-    for batch in batches:
+    for batch in small(batches):
         rows = [(i, p, h, _same(l, fl, True), _same(r, fr, False)) for i, p, h, t, l, r, ft, fl, fr in _rows(batch, "doc_id", "pos", "h", "text", "left", "right", "ft", "fl", "fr") if t == ft]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "pos", "h", "el", "er"])
@@ -123,7 +123,7 @@ def _compare(batches):
 
 def _cut(min_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, lines, words = [], [], []
             for t, cuts in _rows(batch, "text", "cuts"):
                 n = w = 0

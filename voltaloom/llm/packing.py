@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltaloom.llm.common import small
 from voltaloom.llm.tokens import encoder
 
 TOKENS, SEGMENTS, WINDOW = 4096, 128, 512
@@ -132,7 +133,7 @@ def _pack(path: str, end_id: int, limits: dict):
             rows.clear()
             return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _COLUMNS.split(", ")])
 
-        for batch in batches:
+        for batch in small(batches):
             docs, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for lo in range(0, len(docs), 128):
                 for doc, ids in zip(docs[lo : lo + 128], enc.encode(texts[lo : lo + 128]), strict=True):

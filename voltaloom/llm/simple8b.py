@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize, shared_dir
+from voltaloom.llm.common import materialize, shared_dir, small
 from voltaloom.llm.tokens import encoder
 
 MAGIC, BLOCK, FILE_IDS = b"S8BF", 4096, 2_000_000
@@ -188,7 +188,7 @@ def _write(path: str, end_id: int, folder: str):
             ids.clear()
             number, size = number + 1, 0
 
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for lo in range(0, len(keys), 128):
                 for key, x in zip(keys[lo : lo + 128], enc.encode(texts[lo : lo + 128]), strict=True):
@@ -225,7 +225,7 @@ def write_tokens(documents: DataFrame, path: str, folder: str, end_id: int = 2)
 
 
 def _read(batches):
-    for batch in batches:
+    for batch in small(batches):
         for data in batch.column("content"):
             task, number, docs, ids = read_file(data.as_buffer())
             sizes = np.array([len(x) for x in ids], np.int64)

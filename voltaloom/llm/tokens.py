@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltaloom.llm.common import small
+
 #: Pieces that the cache holds at most.
-CACHE = 800_000
+CACHE = 300_000
 
 _UNSAFE = re.compile(r" (?=\s)| \Z")
 _COMBINING = re.compile("[\u0300-\u036f]")
@@ -132,7 +134,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> np.nd
 def _sections(path: str, separator: str):
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for lo in range(0, len(ids), 256):
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -169,7 +171,7 @@ def field_tokens(rows: DataFrame, key: str, fields: list[str], path: str, joiner
 
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             parts = list(zip(*([x or "" for x in batch.column(f).to_pylist()] for f in fields), strict=True))
             counts = []
             for p, (a, b) in zip(parts, enc.offsets([joiner.join(p) for p in parts]), strict=True):

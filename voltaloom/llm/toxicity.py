@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize
+from voltaloom.llm.common import materialize, small
 
 # Look-alike characters and the letter that stands for their class.
 HOMOGLYPHS = {
@@ -102,7 +102,7 @@ def _terms(words: set[str]) -> set[str]:
 
 
 def _count_terms(batches):
-    for batch in batches:
+    for batch in small(batches, 4096):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             seen[label].update(_terms(set(fold(text or "").split())))
@@ -115,7 +115,7 @@ def _count_phrases(terms: dict[str, float]):
 
     def run(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in small(batches, 4096):
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 t, phrases = fold(text or ""), set()
@@ -136,7 +136,7 @@ def _count_phrases(terms: dict[str, float]):
 def _features(lexicon: Lexicon):
     def run(batches):
         a = lexicon.automaton()
-        for batch in batches:
+        for batch in small(batches):
             rows = [lexicon.features(fold(t or ""), a) for t in batch.column("text").to_pylist()]
             cols = [pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, batch.column("label")], ["x", "y", "z", "label"])
@@ -195,7 +195,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
 def _score(lexicon: Lexicon):
     def run(batches):
         a = lexicon.automaton()
-        for batch in batches:
+        for batch in small(batches):
             k = batch.schema.get_field_index("text")
             scores, hits = [], []
             for t in batch.column(k).to_pylist():
