@@ -19,6 +19,8 @@ from voltaloom.llm.common import materialize, small
 
 CHUNK_WORDS, LONG_LINE = 12, 25
 MIN_WORDS = 40
+#: Chunks on either side into which a run may widen: the line before a passage can move its first boundary.
+BESIDE = 2
 
 _M = (1 << 64) - 1
 
@@ -75,14 +77,14 @@ def _occurrences(min_words: int):
             rows = []
             for i, t, marks in _rows(batch, "doc_id", "text", "marks"):
                 c = chunks(t)
-                text = lambda p: b"\n".join(c[p][2]) if 0 <= p < len(c) else b""  # noqa: B023, E731
+                text = lambda p, q=None: b"\n".join(x for k in c[max(0, p) : p + 1 if q is None else max(0, q)] for x in k[2])  # noqa: B023, E731
                 good = {m["pos"]: m["first"] for m in marks if m["pos"] < len(c) and c[m["pos"]][0] == m["h"]}
                 for p in (p for p, first in good.items() if first):
-                    rows.append((c[p][0], i, p, True, text(p), text(p - 1), text(p + 1)))
+                    rows.append((c[p][0], i, p, True, text(p), text(p - BESIDE, p), text(p + 1, p + 1 + BESIDE)))
                 again = sorted(p for p, first in good.items() if not first)
                 for lo, hi in _runs(again):
-                    if sum(c[p][1] for p in range(max(0, lo - 1), min(len(c), hi + 2))) >= min_words:
-                        rows += [(c[p][0], i, p, False, text(p), text(p - 1) if p == lo else b"", text(p + 1) if p == hi else b"") for p in range(lo, hi + 1)]
+                    if sum(c[p][1] for p in range(max(0, lo - BESIDE), min(len(c), hi + 1 + BESIDE))) >= min_words:
+                        rows += [(c[p][0], i, p, False, text(p), text(p - BESIDE, p) if p == lo else b"", text(p + 1, p + 1 + BESIDE) if p == hi else b"") for p in range(lo, hi + 1)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "doc_id", "pos", "first", "text", "left", "right"])
 
@@ -134,10 +136,9 @@ def _cut(min_words: int):
                     for lo, hi in _runs(sorted(at)):
                         el, er = at[lo]["el"], at[hi]["er"]
                         numbers = [k for p in range(lo, hi + 1) for k in c[p][3]]
-                        if el and lo:
-                            numbers = c[lo - 1][3][-el:] + numbers
-                        if er and hi + 1 < len(c):
-                            numbers += c[hi + 1][3][:er]
+                        if el:
+                            numbers = [k for x in c[max(0, lo - BESIDE) : lo] for k in x[3]][-el:] + numbers
+                        numbers += [k for x in c[hi + 1 : hi + 1 + BESIDE] for k in x[3]][:er]
                         size = sum(len(all_lines[k].split()) for k in numbers)
                         if size >= min_words:
                             drop.update(range(numbers[0], numbers[-1] + 1))
