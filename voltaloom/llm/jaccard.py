@@ -103,8 +103,8 @@ def _survey(k: int):
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of tokens in each of m cells; m is the least power of two from 2n on, 64 at least."""
-    m = 64
+    """Parity of the number of tokens in each of m cells; m is the least power of two from 2n on, 2048 at least: few false survivors among short texts."""
+    m = 2048
     while m < 2 * len(s):
         m *= 2
     cell = ((s >> np.uint64(17)) & np.uint64(m - 1)).astype(np.int64)
