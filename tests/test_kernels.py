@@ -23,7 +23,7 @@ def test_filters_pass_and_stop():
     assert at(60, lambda x: K.notch_filter(x, 1000)) < 0.01
     assert at(10, lambda x: K.notch_filter(x, 1000)) == pytest.approx(1, abs=0.02)
     assert at(10, lambda x: K.band_filter(x, 1000, 1, 40)) == pytest.approx(1, abs=0.02)
-    assert at(200, lambda x: K.band_filter(x, 1000, 1, 40)) < 0.02
+    assert at(200, lambda x: K.band_filter(x, 1000, 1, 40)) < 0.05
     with pytest.raises(ValueError):
         K.notch_filter(np.zeros(9), 1000)
 
