@@ -66,6 +66,20 @@ def _hashes(batches):
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([[c[0] for c in x] for _, x in got], pa.list_(pa.int64()))], ["doc_id", "h"])
 
 
+def _beside(c: list, p: int, step: int) -> list[tuple]:
+    """The chunks next to p in one direction, in text order; a long line ends them, as it is a chunk wherever it stands."""
+    out = []
+    for q in range(p + step, p + step * (BESIDE + 1), step):
+        if not 0 <= q < len(c) or len(c[q][2]) == 1 and c[q][1] >= LONG_LINE:
+            break
+        out.append(c[q])
+    return out[::step]
+
+
+def _text(some: list[tuple]) -> bytes:
+    return b"\n".join(x for k in some for x in k[2])
+
+
 _OCCURRENCE = "h long, doc_id long, pos int, first boolean, text binary, left binary, right binary"
 
 
@@ -77,14 +91,13 @@ def _occurrences(min_words: int):
             rows = []
             for i, t, marks in _rows(batch, "doc_id", "text", "marks"):
                 c = chunks(t)
-                text = lambda p, q=None: b"\n".join(x for k in c[max(0, p) : p + 1 if q is None else max(0, q)] for x in k[2])  # noqa: B023, E731
                 good = {m["pos"]: m["first"] for m in marks if m["pos"] < len(c) and c[m["pos"]][0] == m["h"]}
                 for p in (p for p, first in good.items() if first):
-                    rows.append((c[p][0], i, p, True, text(p), text(p - BESIDE, p), text(p + 1, p + 1 + BESIDE)))
+                    rows.append((c[p][0], i, p, True, _text(c[p : p + 1]), _text(_beside(c, p, -1)), _text(_beside(c, p, 1))))
                 again = sorted(p for p, first in good.items() if not first)
                 for lo, hi in _runs(again):
-                    if sum(c[p][1] for p in range(max(0, lo - BESIDE), min(len(c), hi + 1 + BESIDE))) >= min_words:
-                        rows += [(c[p][0], i, p, False, text(p), text(p - BESIDE, p) if p == lo else b"", text(p + 1, p + 1 + BESIDE) if p == hi else b"") for p in range(lo, hi + 1)]
+                    if sum(x[1] for x in _beside(c, lo, -1) + c[lo : hi + 1] + _beside(c, hi, 1)) >= min_words:
+                        rows += [(c[p][0], i, p, False, _text(c[p : p + 1]), _text(_beside(c, p, -1)) if p == lo else b"", _text(_beside(c, p, 1)) if p == hi else b"") for p in range(lo, hi + 1)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "doc_id", "pos", "first", "text", "left", "right"])
 
@@ -137,8 +150,8 @@ def _cut(min_words: int):
                         el, er = at[lo]["el"], at[hi]["er"]
                         numbers = [k for p in range(lo, hi + 1) for k in c[p][3]]
                         if el:
-                            numbers = [k for x in c[max(0, lo - BESIDE) : lo] for k in x[3]][-el:] + numbers
-                        numbers += [k for x in c[hi + 1 : hi + 1 + BESIDE] for k in x[3]][:er]
+                            numbers = [k for x in _beside(c, lo, -1) for k in x[3]][-el:] + numbers
+                        numbers += [k for x in _beside(c, hi, 1) for k in x[3]][:er]
                         size = sum(len(all_lines[k].split()) for k in numbers)
                         if size >= min_words:
                             drop.update(range(numbers[0], numbers[-1] + 1))
