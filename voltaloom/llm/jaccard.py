@@ -4,7 +4,8 @@ A document's tokens (hashes of its distinct word shingles) are put in one global
 known as frequent, by hash, then frequent ones by their count. Two sets with Jaccard similarity t or more share, for every l,
 at least l tokens among the first n - ceil(t n) + l of either. A prefix starts with l = 1; where frequent tokens
 cannot be kept out of it, the estimated number of candidates sets a larger l, and a pair with prefixes of l1 and l2
-must share min(l1, l2) tokens before it is verified.
+must share min(l1, l2) tokens before it is verified. No l exceeds ceil(t n), the fewest tokens that a set of n shares with any
+set it links with, so short texts that share all they can always pass.
 
 * Equal sets are one node from the start, so groups of exact copies never form pairs.
 * Buckets (prefix tokens of two nodes or more) of up to SMALL nodes form pairs in a join; larger ones are searched by
@@ -140,7 +141,7 @@ def _prefixes(k: int, percent: int, frequent):
                             heat = counts[place[hot]]
                             order = np.argsort(heat, kind="stable")
                             cost = int(heat[order][: first - len(cold)].sum())
-                            extra = min(MAX_EXTRA, int(np.log2(1 + cost / CHEAP)))
+                            extra = min(MAX_EXTRA, int(np.log2(1 + cost / CHEAP)), -(-percent * len(s) // 100) - 1)
                             p = np.concatenate([cold, s[hot][order]])[: first + extra]
                         else:
                             p = cold[:first]
