@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds find places, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: n-gram seeds find places, Smith-Waterman alignment of words scores them.
 
 Test items are the query set: they are collected in blocks of at most BLOCK_CHARS characters, which bounds what the workers hold, and
-all documents are run against each block. Every item's word n-grams are counted over all documents; its seeds are the
-n-grams that are rare against the item's own lower quartile, so a phrase of everyday words seeds nothing, while an item that leaked into many
-documents keeps its seeds. Where seeds of an item stand close together in a document, the words around are aligned
-with the whole item, so edited and paraphrased copies score by what they keep.
+all documents are run against each block. Every word n-gram of an item is a seed, however many documents hold it: copies of one
+edited version make its n-grams frequent just as everyday phrases are. Around a seed the words that the item shares are counted,
+each as often as both hold it; twice that number is the most an alignment can score, so where it stays below the threshold
+nothing is aligned. Elsewhere the words around are aligned with the whole item, so edited and paraphrased copies score by what they keep.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -77,20 +78,12 @@ class Items:
                 for at, g in enumerate(ngram_hashes(h, SEED).tolist()):
                     self.places.setdefault(g, []).append((item, at))
         self.sorted = np.array(sorted(self.places), np.uint64)
+        self.counts = {item: Counter(h.tolist()) for item, h in self.words.items()}
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Each word's number in the block's vocabulary; 0, which no item holds, for all others."""
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
 
-    def keep_rare(self, df: dict[int, int]) -> None:
-        grams: dict[int, list[int]] = {}
-        for g, where in self.places.items():
-            for item, _ in where:
-                grams.setdefault(item, []).append(df.get(g, 0))
-        limit = {item: 10 + 2 * sorted(c)[len(c) // 4] for item, c in grams.items()}
-        self.places = {g: kept for g, where in self.places.items() if (kept := [(i, p) for i, p in where if df.get(g, 0) <= limit[i]])}
-        self.sorted = np.array(sorted(self.places), np.uint64)
-
     def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the n-grams of h that are n-grams of an item."""
         known, n = h > 0, len(h) - SEED + 1
@@ -106,20 +99,13 @@ class Items:
         return places[ok], g[ok]
 
 
-def _count(items: Items):
-    def run(batches):
-        for batch in small(batches):
-            seen: dict[int, int] = {}
-            for text in batch.column("text").to_pylist():
-                for g in set(items.found(items.numbers(words_of(text)))[1].tolist()):
-                    seen[g] = seen.get(g, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["gram", "df"])
-
-    return run
+def shared(counts: Counter, window: list[int]) -> int:
+    """Words of an item that window holds, each as often as both hold it: no alignment matches more."""
+    return sum(min(n, counts[w]) for w, n in Counter(filter(counts.__contains__, window)).items())
 
 
-def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word) of each item with a seed in words: its best alignment."""
+def leaks(items: Items, words: list[str], known: dict, threshold: float) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, last word) of each item with a seed in words: its best alignment, if it may reach the threshold."""
     h = items.numbers(words)
     at, grams = items.found(h)
     if not len(at):
@@ -128,15 +114,17 @@ def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float,
     for p, g in zip(at.tolist(), grams.tolist(), strict=True):
         for item, q in items.places[g]:
             starts.setdefault(item, set()).add(p - q)
-    out = []
+    out, listed = [], h.tolist()
     for item, begins in sorted(starts.items()):
-        w = items.words[item]
+        w, counts = items.words[item], items.counts[item]
         slack, best, covered = len(w) // 2 + 2, None, -(1 << 60)
         for b in sorted(begins):
             if b <= covered:
                 continue
             lo, hi = max(0, b - slack), min(len(h), b + len(w) + 2 * slack)
             covered = b + slack
+            if shared(counts, listed[lo:hi]) / len(w) < threshold:
+                continue
             key = (item, h[lo:hi].tobytes())
             if key not in known:
                 if len(known) > 20_000:
@@ -145,7 +133,8 @@ def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float,
             score, first, last = known[key]
             if best is None or score > best[1]:
                 best = (item, score, lo + first, lo + last)
-        out.append(best)
+        if best is not None:
+            out.append(best)
     return out
 
 
@@ -153,7 +142,7 @@ def _scan(items: Items, threshold: float):
     def run(batches):
         known: dict = {}
         for batch in small(batches):
-            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known) if x[1] >= threshold]
+            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known, threshold) if x[1] >= threshold]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
@@ -172,8 +161,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
     out = None
     for b in range(blocks):
         items = Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()))
-        counted = texts.mapInArrow(_count(items), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()  # n-grams of the block at most
-        items.keep_rare({r.gram & (1 << 64) - 1: r.df for r in counted})
         found = texts.mapInArrow(_scan(items, threshold), "doc_id long, item_id long, score double, first_word long, last_word long")
         out = found if out is None else out.union(found)
     return out
