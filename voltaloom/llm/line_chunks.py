@@ -1,8 +1,9 @@
 """Removal of passages of several lines that earlier documents already hold, by content-defined line chunks.
 
-Lines with a word are hashed; a rolling hash over two line hashes decides where a chunk ends, with a chance that
-grows with the words of the line (CHUNK_WORDS words: always), and lines of LONG_LINE words or more are chunks of their own.
-The choice depends on the lines alone, so an inserted line shifts no other boundary. Chunks that occur
+Lines with a word are hashed. Of every window, the fewest lines from a line on that have WINDOW_WORDS words, the last line with the
+smallest hash ends a chunk, and lines of LONG_LINE words or more are chunks of their own. So a line's choice depends only on lines
+within WINDOW_WORDS words of it: all copies of a passage have the same boundaries but for the words at its ends (EDGE_WORDS at most),
+and one of over 50 words holds a whole chunk, however short its lines are. Chunks that occur
 twice or more in the corpus are compared, byte for byte, with their first occurrence (smallest doc_id, then position);
 what equals it is removed if the run of removed chunks, widened line by line into the chunks beside it, has
 min_words words or more. Blank lines do not count and go with the lines around them.
@@ -17,17 +18,32 @@ from pyspark.sql import functions as F
 
 from voltaloom.llm.common import materialize, small
 
-CHUNK_WORDS, LONG_LINE = 12, 25
+WINDOW_WORDS, LONG_LINE = 6, 25
 MIN_WORDS = 40
-#: Chunks on either side into which a run may widen: the line before a passage can move its first boundary.
-BESIDE = 2
-
-_M = (1 << 64) - 1
+#: Chunks on either side into which a run may widen, and words of short lines that they hold at least: lines around a passage can move the boundaries at its ends.
+BESIDE, EDGE_WORDS = 2, 20
+
+
+def ends(words: list[int], hashes: list[int]) -> set[int]:
+    """Places of the lines that end a chunk: of each window the last line with the smallest hash."""
+    out, stop, total = set(), 0, 0
+    for start, n in enumerate(words):
+        while total < WINDOW_WORDS and stop < len(words):
+            total += words[stop]
+            stop += 1
+        if total < WINDOW_WORDS:
+            break
+        out.add(min(range(start, stop), key=lambda k: (hashes[k], -k)))
+        total -= n
+    return out
 
 
 def chunks(text: bytes) -> list[tuple[int, int, list[bytes], list[int]]]:
     """(hash, words, lines, line numbers) of each chunk, in order."""
-    out, lines, at, hashes, words, before = [], [], [], [], 0, 0
+    rows = [(line, i, n) for i, line in enumerate(text.split(b"\n")) if (n := len(line.split()))]
+    hashed = [xxhash.xxh3_64_intdigest(line) for line, _, _ in rows]
+    last = ends([n for _, _, n in rows], hashed)
+    out, lines, at, hashes, words = [], [], [], [], 0
 
     def close():
         nonlocal lines, at, hashes, words
@@ -36,20 +52,14 @@ def chunks(text: bytes) -> list[tuple[int, int, list[bytes], list[int]]]:
             out.append((h - (1 << 64) if h >> 63 else h, words, lines, at))
         lines, at, hashes, words = [], [], [], 0
 
-    for i, line in enumerate(text.split(b"\n")):
-        n = len(line.split())
-        if not n:
-            continue
-        h = xxhash.xxh3_64_intdigest(line)
+    for k, (line, i, n) in enumerate(rows):
         if n >= LONG_LINE:
             close()
         lines.append(line)
         at.append(i)
-        hashes.append(h)
+        hashes.append(hashed[k])
         words += n
-        rolled = (before * 0x9E3779B97F4A7C15 + h) & _M
-        before = h
-        if n >= LONG_LINE or ((rolled ^ rolled >> 32) * 0xD6E8FEB86659FD93 & _M) >> 33 < n * (1 << 31) // CHUNK_WORDS:
+        if k in last:
             close()
     close()
     return out
@@ -67,12 +77,19 @@ def _hashes(batches):
 
 
 def _beside(c: list, p: int, step: int) -> list[tuple]:
-    """The chunks next to p in one direction, in text order; a long line ends them, as it is a chunk wherever it stands."""
-    out = []
-    for q in range(p + step, p + step * (BESIDE + 1), step):
-        if not 0 <= q < len(c) or len(c[q][2]) == 1 and c[q][1] >= LONG_LINE:
+    """The chunks next to p in one direction, in text order; a long line ends them, as it is a chunk wherever it stands.
+
+    Past BESIDE chunks they go on only where lines of fewer than WINDOW_WORDS words may still belong to a passage: all others end a chunk
+    in every copy.
+    """
+    out, short = [], 0
+    for q in range(p + step, len(c) if step > 0 else -1, step):
+        if len(c[q][2]) == 1 and c[q][1] >= LONG_LINE:
+            break
+        if len(out) >= BESIDE and (short >= EDGE_WORDS or len(c[min(q, q - step)][2][-1].split()) >= WINDOW_WORDS):
             break
         out.append(c[q])
+        short += sum(n for x in c[q][2] if (n := len(x.split())) < WINDOW_WORDS)
     return out[::step]
 
 
