@@ -484,9 +484,9 @@ def q59_quality_filter(spark, d):
     return table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").join(bad, "c_custkey", "left_anti").select("c_custkey")
 
 
-def _signals(spark, d):
+def _signals(spark, d, number="vec_id"):
     """Sessions of one channel: each embedding repeated to 512 samples at 512 Hz."""
-    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("animalday"), F.col("vec_id").alias("frag_idx"), F.array_repeat(F.transform("embedding", lambda v: v.cast("double")), 8).alias("x"))
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("animalday"), (F.col(number) if isinstance(number, str) else number).cast("long").alias("frag_idx"), F.array_repeat(F.transform("embedding", lambda v: v.cast("double")), 8).alias("x"))
     return e.select("animalday", "frag_idx", F.array(F.flatten("x")).alias("signal"))
 
 
@@ -497,8 +497,10 @@ def q60_welch_features(spark, d):
 
 @query()
 def q61_coherency(spark, d):
-    s = _signals(spark, d)
-    pair = s.select("animalday", (F.col("frag_idx") / 2).cast("long").alias("frag_idx"), (F.col("frag_idx") % 2).alias("c"), F.col("signal")[0].alias("x")).groupBy("animalday", "frag_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda p: p["x"]).alias("signal")).where(F.size("signal") == 2)
+    """Recordings of two vectors that follow each other by vec_id within a label; a label's last odd one is a recording of one channel, with its diagonal only."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    s = _signals(spark, d, rank)
+    pair = s.select("animalday", F.floor(F.col("frag_idx") / 2).alias("frag_idx"), (F.col("frag_idx") % 2).alias("c"), F.col("signal")[0].alias("x")).groupBy("animalday", "frag_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda p: p["x"]).alias("signal"))
     return FE.long_features(pair, 512.0, ["cohere", "zcohere", "imcoh", "pcorr"])
 
 
