@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltaloom import constants as C
 from voltaloom.deploy import ship
+from voltaloom.functions import kernels as K
 from voltaloom.functions import names as N
 from voltaloom.operators import aggregate as A
 from voltaloom.operators import features as FE
@@ -25,6 +28,8 @@ from voltaloom.operators import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Vectors of a label that one block holds where all pairs are made.
+PAIR_BLOCK = 512
 
 
 def query(sql: str | None = None):
@@ -264,6 +269,41 @@ def q27_matrix_collapse(spark, d):
     return A.collapse_matrix(_pairs(spark, d), ["label"], "r", "c1", "c2").withColumn("r", r6("r"))
 
 
+def _all_pairs(spark, d):
+    """Correlations of all pairs of vectors within a label, as corr gives them for the numbers at the same places: blocks of vectors against each other."""
+    x = table(spark, d, "embeddings").where("label is not null and vec_id is not null and size(embedding) > 0").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    blocks = max(1, -(-(x.groupBy("label").count().agg(F.max("count")).first()[0] or 0) // PAIR_BLOCK))
+    cut = x.withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cut.select("label", "vec_id", "v", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+    def pairs(pdf):
+        lo, hi = (pdf[pdf.mine == pdf[side].iloc[0]] for side in ("lo", "hi"))
+        r = K.pairwise_corr(list(lo.v), list(hi.v))
+        a, b = (np.broadcast_to(i, r.shape) for i in (lo.vec_id.to_numpy()[:, None], hi.vec_id.to_numpy()[None]))
+        ok = a > b if pdf.lo.iloc[0] == pdf.hi.iloc[0] else a != b
+        a, b, r = a[ok], b[ok], r[ok]
+        return pd.DataFrame({"label": pdf.label.iloc[0], "c1": np.maximum(a, b), "c2": np.minimum(a, b), "r": r})
+
+    found = cells.groupBy("label", "lo", "hi").applyInPandas(pairs, f"label {x.schema['label'].dataType.simpleString()}, c1 long, c2 long, r double")
+    return found.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+@query()
+def q63_pcorr_pairs_all(spark, d):
+    return _all_pairs(spark, d).withColumn("r", r6("r"))
+
+
+@query()
+def q64_zpcorr_all(spark, d):
+    z = F.when(F.col("r").isNotNull(), F.atanh(F.greatest(F.least(F.col("r"), F.lit(1 - 1e-6)), F.lit(-1 + 1e-6))))  # greatest and least pass over NULL
+    return _all_pairs(spark, d).select("label", "c1", "c2", r6(z).alias("z"))
+
+
+@query()
+def q65_matrix_collapse_all(spark, d):
+    return A.collapse_matrix(_all_pairs(spark, d), ["label"], "r", "c1", "c2").withColumn("r", r6("r"))
+
+
 DFT = f"{EMB}, k AS (SELECT unnest(range(0, 33)) AS k), psd AS (SELECT vec_id, k, (pow(sum(v * cos(2 * pi() * k * (i - 1) / 64)), 2) + pow(sum(v * sin(2 * pi() * k * (i - 1) / 64)), 2)) / 64 AS p FROM x, k GROUP BY vec_id, k)"
 
 
