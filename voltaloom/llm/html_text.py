@@ -179,13 +179,13 @@ def _find(node: Node, wanted, inside: bool = False):
 
 
 def article(root: Node) -> list[tuple[str, Node, int]]:
-    """The blocks of the article."""
+    """The blocks of the article: of all top-level elements of the first kind found, in page order; smaller ones that are mostly links are teasers."""
     size = lambda b: sum(len(t) - n for t, _, n in b)
     for wanted in (lambda n: n.tag == "article" or n.attrs.get("itemprop") == "articleBody", lambda n: n.tag == "main" or n.attrs.get("role") == "main", lambda n: n.tag in ("div", "section", "td") and n.names() & (CONTENT - {"text"}) and not n.names() & {"wrapper", "container", "page"}):
         found = [blocks(n, True) for n in _find(root, wanted)]
         best = max(found, key=size, default=[])
         if best and size(best) > 0:
-            return best
+            return [x for b in found if b is best or 2 * size(b) > sum(len(t) for t, _, _ in b) for x in b]
     return [b for b in blocks(root) if 2 * b[2] <= len(b[0])]
 
 
