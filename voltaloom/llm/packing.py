@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltaloom.llm.common import small
@@ -135,10 +135,11 @@ def _pack(path: str, end_id: int, limits: dict):
 
         for batch in small(batches):
             docs, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            loss = batch.column("loss").to_pylist()
             for lo in range(0, len(docs), 128):
-                for doc, ids in zip(docs[lo : lo + 128], enc.encode(texts[lo : lo + 128]), strict=True):
+                for doc, ids, bear in zip(docs[lo : lo + 128], enc.encode(texts[lo : lo + 128]), loss[lo : lo + 128], strict=True):
                     held[row] = (doc, np.append(ids, ids.dtype.type(end_id)), len(ids) + 1)
-                    for s in packer.add(row, len(ids) + 1):
+                    for s in packer.add(row, len(ids) + 1, None if bear is None else min(max(bear, 0), len(ids) + 1)):
                         put(s)
                     row += 1
             yield out()
@@ -149,12 +150,13 @@ def _pack(path: str, end_id: int, limits: dict):
     return run
 
 
-def pack_documents(documents: DataFrame, path: str, end_id: int = 2, **limits) -> DataFrame:
+def pack_documents(documents: DataFrame, path: str, end_id: int = 2, loss_tokens: Column | None = None, **limits) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids by the tokenizer at path, then end_id; every id lies in one piece. limits: tokens, segments, loss,
-    window of Packer; all tokens bear loss. Null and empty texts are the end id alone; repeated rows and rows without
+    window of Packer. loss_tokens: how many of a document's ids bear loss (0 to all, taken as spread evenly over them); all where it
+    is null or not given. Null and empty texts are the end id alone; repeated rows and rows without
     doc_id are packed each. Row order is the scan's, so a task that is run again makes the same sequences.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None) if loss_tokens is None else loss_tokens).cast("long").alias("loss"))
     return docs.mapInArrow(_pack(path, end_id, limits), _COLUMNS)
