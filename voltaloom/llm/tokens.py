@@ -1,8 +1,8 @@
 """Token ids of whole texts with the tokenizers library, and attribution of tokens to parts of a text.
 
-For tokenizers whose pre-tokenizer never joins text across a single space, a text is cut before spaces and each distinct piece is
-encoded by the library once while it is in a cache of bounded size; the ids are those of the whole text (a test compares them).
-Texts for which cutting is not safe (white space after a space, or a space at the end), and all other tokenizers, are encoded whole.
+The ids and spans are those of the library's plain call on the whole text, without added special tokens. A text is cut only where no
+pre-token of the tokenizer can reach across, and each distinct piece is encoded by the library once while a cache of bounded size holds it. Texts that hold a special
+token's string or a separator control character, and all tokenizers of other kinds, are encoded whole. A test compares all this with the library on odd texts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,34 +20,39 @@ from pyspark.sql import functions as F
 
 from voltaloom.llm.common import small
 
-#: Pieces that the cache holds at most.
-CACHE = 300_000
-
-_UNSAFE = re.compile(r" (?=\s)| \Z")
-_COMBINING = re.compile("[\u0300-\u036f]")
-#: ASCII marks other than ' and _ from a letter to the end of its word: every pre-tokenizer here makes them a piece.
-_STOP = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\\[-^`{-~]+)(?=[ \n]|\\Z)")
-#: Pieces of a text: a word of letters that only such marks end; the marks; any other word; one white space character; more of them with the word after.
-_PIECE = re.compile("|".join((
-    " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[!-&(-/:-@\\[-^`{-~]*(?:[ \n]|\\Z))",
-    "[!-&(-/:-@\\[-^`{-~]+(?=[ \n]|\\Z)",
-    r" ?\S+", r"[^\S ](?!\s)", r"[^\S ](?= )", r"[^\S ]+\S*",
-)))
+#: Pieces that each generation of a cache holds at most, and that are encoded in one text.
+CACHE, JOINED = 400_000, 32
+
+#: White space in Python, but not in the tokenizers; and what marks keys.
+_CONTROL = re.compile("[\x00\x1c-\x1f]")
+#: Runs of white space that the byte-level pre-tokenizer keeps together.
+_RUN = re.compile(r"\s\s\s|\s\s\Z")
+#: Pieces of any text: all but the last of a run of white space before a word; a word with the one before; a run at the end.
+_PIECE = re.compile(r"\s+(?=\s\S)|\s?\S+|\s+")
+_PLAIN = re.compile(r" ?\S+")
+#: Pieces of one or two pre-tokens: ASCII letters (or, in byte-level tokenizers, digits) and the ASCII marks that end them.
+_SIMPLE = {"byte": re.compile("( ?(?:[A-Za-z]+|[0-9]+))([!-&(-/:-@\\[-`{-~]*)"), "word": re.compile("([a-z]+)([!-&(-/:-@\\[-`{-~]*)")}
+_COMBINING = re.compile("[̀-ͯ]")
 _encoders: dict[str, Encoder] = {}
 
 
-class _Ids(dict):
-    """Piece to its ids; what came first stays, as frequent pieces are among it."""
+class Memo:
+    """What make gives for each of some keys, kept in two generations: keys in use pass on to the new one."""
 
-    def __init__(self, tokenizer, dtype: np.dtype):
-        super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
+    def __init__(self, make, limit: int = CACHE):
+        self.make, self.limit, self.new, self.old = make, limit, {}, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, self.dtype).tobytes()
-        if len(self) < CACHE:
-            self[piece] = ids
-        return ids
+    def ready(self, wanted: set[str]) -> dict:
+        """A mapping that holds all wanted keys."""
+        missing = wanted.difference(self.new)
+        if missing and self.new and len(self.new) + len(missing) > self.limit:
+            self.old, self.new, missing = self.new, {}, wanted
+        if missing:
+            old = self.old
+            self.new.update((k, old[k]) for k in missing if k in old)
+            fresh = [k for k in missing if k not in old]
+            self.new.update(zip(fresh, self.make(fresh), strict=True))
+        return self.new
 
 
 class Encoder:
@@ -55,7 +62,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
@@ -63,50 +69,116 @@ class Encoder:
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
         kinds = [x["type"] for x in norm.get("normalizers", [])]
         split = (pre.get("pretokenizers") or [{}])[0]
-        self.kind = "whole"
+        self.special = [x["content"].lower() for x in spec["added_tokens"]]
+        self.kind, sep = "whole", ""
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not norm:
-            self.kind = "byte"
+            self.kind, sep = "byte", "\n"
         elif kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and "\\s" in split["pattern"]["Regex"]:
-            self.kind = "word"
+            self.kind, sep = "word", "\x01"
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.ids = _Ids(self.tokenizer, self.dtype)
-        self.spans: dict[str, tuple[bytes, bytes]] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.kind == "word":  # lower case, white space dropped: fewer distinct pieces give the same ids
-            if not _COMBINING.search(text):
-                text = text.encode("utf-8", "replace").lower().decode()  # A-Z only
-            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
-        if self.kind == "byte" and not _UNSAFE.search(text):
-            return _PIECE.findall(text)
-        return [text]
+        self.between = f" {sep} " if self.kind == "word" else sep
+        self.mark = self.raw(sep) if sep else []
+        if len(self.mark) != 1:
+            self.kind = "whole"
+        self.ids, self.spans = Memo(self.piece_ids), Memo(self.piece_spans)
+
+    def raw(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def whole(self, text: str) -> bool:
+        """Whether a text is not to be cut."""
+        if self.kind == "whole" or _CONTROL.search(text):
+            return True
+        low = text.lower() if any(s[:2] in text for s in self.special) else ""
+        return any(s in low for s in self.special)
+
+    def cut(self, text: str) -> list[str]:
+        """Keys of the pieces of a text: each stands for what `piece` tells of it."""
+        if self.kind == "word":  # white space is dropped; fewer distinct pieces in lower case
+            if text.isascii() or not _COMBINING.search(text):
+                text = text.encode().lower().decode()  # A-Z only
+            return text.replace("\n", " ").split(" ")
+        if _RUN.search("\n" + text):
+            return [p[1:] if p[0] == " " and p[1:2] > " " else "\x00" + p for p in _PIECE.findall(text)]
+        return ("\x00" + text.replace("\n", " \n")).split(" ")
+
+    def piece(self, key: str) -> str:
+        """White space before a word belongs to it: keys leave out a space; with a NUL before them they leave out nothing."""
+        return key if self.kind == "word" or key[:1] == "\n" else key[1:] if key[:1] == "\x00" else " " + key
+
+    def simple(self, pieces: list[str]):
+        """(place, tokens of the library's model, one list for each pre-token) of the pieces known to be one or two pre-tokens."""
+        match, model = _SIMPLE[self.kind].fullmatch, self.tokenizer.model.tokenize
+        for k, p in enumerate(pieces):
+            if m := match(p):
+                word, marks = m.groups()
+                if word[0] == " ":
+                    word = "\u0120" + word[1:]  # the byte-level letter for a space
+                yield k, model(word) + model(marks) if marks else model(word)
+
+    def batches(self, pieces: list[str], places: list[int]):
+        """(places of pieces, text of them all with a mark between): a piece that may not stand so is its own batch."""
+        plain = [k for k in places if _PLAIN.fullmatch(pieces[k]) and "\x01" not in pieces[k]]
+        for lo in range(0, len(plain), JOINED):
+            at = plain[lo : lo + JOINED]
+            yield at, self.between.join([pieces[k] for k in at])
+        if len(plain) < len(places):
+            for k in set(places).difference(plain):
+                yield [k], pieces[k]
+
+    def split(self, ids: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """First and last token of each of n pieces."""
+        ends = np.append(np.nonzero(ids == self.mark[0])[0], len(ids)) if n > 1 else np.array([len(ids)])
+        return list(zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True))
+
+    def piece_ids(self, keys: list[str]) -> list[bytes]:
+        feed, pack = np.array(self.mark, self.dtype).tobytes(), array
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        line = [self.kind == "byte" and k[:1] == "\n" and k[1:2] != " " and _PLAIN.fullmatch(k, 1) is not None for k in keys]
+        pieces = [k[1:] if x else self.piece(k) for k, x in zip(keys, line, strict=True)]
+        out: list[bytes | None] = [None] * len(pieces)
+        for k, tokens in self.simple(pieces):
+            out[k] = pack(code, [t.id for t in tokens]).tobytes()
+        for at, text in self.batches(pieces, [k for k, x in enumerate(out) if x is None]):
+            ids = np.array(self.raw(text), self.dtype)
+            for k, (a, b) in zip(at, self.split(ids, len(at)), strict=True):
+                out[k] = ids[a:b].tobytes()
+        return [feed + x if f else x for x, f in zip(out, line, strict=True)]
+
+    def piece_spans(self, keys: list[str]) -> list[tuple[bytes, bytes, int]]:
+        pieces = [self.piece(k) for k in keys]
+        out: list[tuple | None] = [None] * len(pieces)
+        for k, tokens in self.simple(pieces):  # ASCII: a byte is a character
+            ends = list(accumulate([len(t.value) for t in tokens]))
+            out[k] = (array("i", [0, *ends[:-1]]).tobytes(), array("i", ends).tobytes(), ends[-1])
+        for at, text in self.batches(pieces, [k for k, x in enumerate(out) if x is None]):
+            e = self.tokenizer.encode_batch([text], add_special_tokens=False)[0]
+            spans, base = np.array(e.offsets, np.int32).reshape(-1, 2), 0
+            for k, (a, b) in zip(at, self.split(np.array(e.ids), len(at)), strict=True):
+                out[k] = ((spans[a:b, 0] - base).tobytes(), (spans[a:b, 1] - base).tobytes(), len(pieces[k]))
+                base += len(pieces[k]) + len(self.between)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        get = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, self.pieces(t))), self.dtype) for t in texts]
+        cut = [None if self.whole(t) else self.cut(t) for t in texts]
+        get = self.ids.ready(set().union(*filter(None, cut))).__getitem__
+        return [np.array(self.raw(t), self.dtype) if c is None else np.frombuffer(b"".join(map(get, c)), self.dtype) for t, c in zip(texts, cut, strict=True)]
 
     def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Character spans (starts, ends) of each text's tokens, as the library gives them for the whole text."""
-        if self.kind != "byte":
-            got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            return [tuple(np.array(e.offsets, np.int64).reshape(-1, 2).T) for e in got]
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.spans)
-        if new:
-            if len(self.spans) + len(new) > CACHE:
-                self.spans.clear()
-                new = set().union(*cut)
-            names = list(new)
-            for name, e in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
-                o = np.array(e.offsets, np.int32).reshape(-1, 2)
-                self.spans[name] = (o[:, 0].tobytes(), o[:, 1].tobytes())
+        """Character spans (starts, ends) of each text's tokens."""
+        cut = [None if self.kind != "byte" or self.whole(t) else self.cut(t) for t in texts]
+        held = self.spans.ready(set().union(*filter(None, cut)))
         out = []
-        for c in cut:
-            got = [self.spans[p] for p in c]
-            counts = np.fromiter((len(a) // 4 for a, _ in got), np.int64, len(got))
-            base = np.repeat(np.cumsum([0, *map(len, c)])[:-1], counts)
-            out.append(tuple(np.frombuffer(b"".join(x[k] for x in got), np.int32) + base for k in (0, 1)))
+        for t, c in zip(texts, cut, strict=True):
+            if c is None:
+                e = self.tokenizer.encode_batch([t], add_special_tokens=False)[0]
+                out.append(tuple(np.array(e.offsets, np.int64).reshape(-1, 2).T))
+                continue
+            starts, ends, sizes = zip(*[held[p] for p in c], strict=True) if c else ((), (), ())
+            sizes = np.array(sizes, np.int64)
+            base = np.repeat(np.cumsum(sizes) - sizes, np.fromiter(map(len, starts), np.int64, len(starts)) // 4)
+            out.append(tuple(np.frombuffer(b"".join(x), np.int32) + base for x in (starts, ends)))
         return out
 
 
