@@ -32,8 +32,8 @@ HOMOGLYPHS = {
 }
 #: Lengths of the word beginnings that may become entries.
 STEM = (4, 5, 6, 7)
-#: Entries of the lexicon and labelled rows for fitting, at most.
-MAX_ENTRIES, MAX_ROWS = 2000, 40_000
+#: Labelled rows for fitting at most. This bounds the lexicon too: an entry or exception stands in five of them at least.
+MAX_ROWS = 40_000
 
 _SIGN = re.compile(r"[!|@$](?=\w)|(?<=\w)[!|@$](?=\w)")
 _OTHER = re.compile(r"[\W_]+")
@@ -161,30 +161,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit a lexicon on at most max_rows rows of labels (doc_id, label 0 or 1), those first by a hash of doc_id.
 
-    Rows of labels without doc_id or label are left out; of repeated doc_ids the largest label counts. Without
+    Rows of labels without doc_id or label are left out; of repeated doc_ids the largest label and the first text in order count. Without
     labelled documents, or with one label only, the lexicon is empty and every score is low.
     """
     sample = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "label")  # the sample has max_rows rows of 12 bytes at most
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")  # the sample has max_rows rows of 12 bytes at most
     rows = materialize(rows, "tox-train")
     size = {int(r.label): r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return Lexicon({}, [], (-3.0, 0.0, 0.0, 0.0))
     c = rows.mapInArrow(_count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    share = F.col("pos") / n1
     c = c.where("pos >= 5").withColumn("lift", F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))).where("lift > 1.5")
     c = c.withColumn("z", (F.col("pos") - (F.col("pos") + F.col("neg")) * (n1 / (n0 + n1))) / F.sqrt((F.col("pos") + F.col("neg")) * (n1 / (n0 + n1)))).where("z > 6")
-    top = c.withColumn("share", share).orderBy(F.desc("z"), "term").limit(MAX_ENTRIES).collect()
+    top = c.select("term", "lift").collect()
     terms: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r.term), r.term)):
         shorter = [terms[r.term[:n]] for n in range(STEM[0] + 1, len(r.term)) if r.term[:n] in terms]
         if not shorter or max(shorter) < r.lift - 0.7:
             terms[r.term] = float(r.lift)
     p = rows.mapInArrow(_count_phrases(terms), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    learned = [r.term for r in p.where("neg >= 5 and pos * 10 <= neg").orderBy(F.desc("neg"), "term").limit(MAX_ENTRIES).collect()]
+    learned = [r.term for r in p.where("neg >= 5 and pos * 10 <= neg").orderBy("term").collect()]
     lexicon = Lexicon(terms, learned + [fold(x) for x in exceptions])
     got = rows.mapInArrow(_features(lexicon), "x double, y double, z double, label int").collect()  # max_rows rows at most
     m = np.array([tuple(r) for r in got], float)
