@@ -16,8 +16,8 @@ def plain_hits(lexicon, folded):
         for at in range(len(folded)):
             if folded.startswith(term, at) and (at not in best or weight > best[at][1]):
                 best[at] = (term, weight)
-    for phrase in lexicon.exceptions:
-        spared += [(at, at + len(phrase)) for at in range(len(folded)) if folded.startswith(phrase, at)]
+    for phrase in lexicon.exceptions:  # its last space begins the next word
+        spared += [(at, at + len(phrase) - 1) for at in range(len(folded)) if folded.startswith(phrase, at)]
     return [(at, *x) for at, x in sorted(best.items()) if not any(lo <= at < hi for lo, hi in spared)]
 
 
