@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 #: The six white-space bytes that part words: space and 0x09 to 0x0D.
 WORD_SPACE = " \t\n\x0b\f\r"
+#: Keys with more rows than this, and more than this part of all, are dealt over several tasks in joins.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session has one of its own; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (found or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
@@ -76,19 +80,41 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row a key at most, where few keys may hold most rows of many.
+
+    Rows of a hot key, one with more than HOT rows and more than a share of 1 / HOT of all, are dealt over parts by a hash of the columns `by`;
+    its row of `one` is repeated for each part. There are fewer than HOT such keys, so their list is broadcast. Rows without key are dealt likewise.
+    many should be a written table: it is counted first.
+    """
+    rows = many.count()
+    if rows <= HOT:
+        return many.join(one, keys, how)
+    most = max(HOT, rows // HOT)
+    hot = many.groupBy(*keys).agg(F.count("*").alias("parts")).where(F.col("parts") > most).select(*keys, F.ceil(4 * F.col("parts") / most).alias("parts"))
+    hot = materialize(hot.dropna(subset=keys), "hot-keys")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    hashed = F.xxhash64(F.lit(7), *by)
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("part", F.when(known, F.pmod(hashed, F.coalesce("parts", F.lit(1)))).otherwise(F.pmod(hashed, F.lit(4 * HOT)))).drop("parts")
+    repeated = one.join(F.broadcast(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(repeated, [*keys, "part"], how).drop("part")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component_id) of every node of edges (a, b): component_id is the smallest id that links reach.
 
     Minimum labels along edges, with pointer jumping, so the rounds grow with the logarithm of the
-    diameter. Only joins and partial aggregates; nothing is gathered in one task or on the driver.
+    diameter. Joins deal the edges of a hub and the nodes of a giant component over tasks; aggregates are partial first.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")), f"{name}-labels")
     while True:
-        seen = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        step = labels.join(seen, "id").select("id", F.least("c", "m").alias("n"), "c")
+        seen = spread_join(both, labels.select(F.col("id").alias("b"), "c"), ["b"], ["a"]).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        step = materialize(labels.join(seen, "id").select("id", F.least("c", "m").alias("n"), "c"), f"{name}-step")
         jump = step.select(F.col("id").alias("n"), F.col("n").alias("p"))
-        after = materialize(step.join(jump, "n").select("id", F.least("n", "p").alias("n"), "c"), f"{name}-labels")
+        after = materialize(spread_join(step, jump, ["n"], ["id"]).select("id", F.least("n", "p").alias("n"), "c"), f"{name}-labels")
         moved = after.where("n <> c").limit(1).count()
         labels = after.select("id", F.col("n").alias("c"))
         if not moved:

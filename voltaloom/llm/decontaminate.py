@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from voltaloom.llm.common import ngram_hashes, small
 
-#: Words of a seed; words that an item needs to be looked for; characters of a block of items.
-SEED, LEAST_WORDS, BLOCK_CHARS = 4, 8, 8_000_000
+#: Words of a seed; words below which an item must stand whole; characters of a block of items.
+SEED, SHORT, BLOCK_CHARS = 4, 8, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -73,7 +73,7 @@ class Items:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
             h = self.numbers(w)
-            if len(h) >= LEAST_WORDS:
+            if len(h) >= SEED:
                 self.words[item] = h
                 for at, g in enumerate(ngram_hashes(h, SEED).tolist()):
                     self.places.setdefault(g, []).append((item, at))
@@ -105,7 +105,7 @@ def shared(counts: Counter, window: list[int]) -> int:
 
 
 def leaks(items: Items, words: list[str], known: dict, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word) of each item with a seed in words: its best alignment, if it may reach the threshold."""
+    """(item, score, first word, last word) of each item whose best alignment with words reaches the threshold; items of fewer than SHORT words must stand whole."""
     h = items.numbers(words)
     at, grams = items.found(h)
     if not len(at):
@@ -118,12 +118,13 @@ def leaks(items: Items, words: list[str], known: dict, threshold: float) -> list
     for item, begins in sorted(starts.items()):
         w, counts = items.words[item], items.counts[item]
         slack, best, covered = len(w) // 2 + 2, None, -(1 << 60)
+        least = max(threshold, 1.0) if len(w) < SHORT else threshold
         for b in sorted(begins):
             if b <= covered:
                 continue
             lo, hi = max(0, b - slack), min(len(h), b + len(w) + 2 * slack)
             covered = b + slack
-            if shared(counts, listed[lo:hi]) / len(w) < threshold:
+            if shared(counts, listed[lo:hi]) / len(w) < least:
                 continue
             key = (item, h[lo:hi].tobytes())
             if key not in known:
@@ -131,7 +132,7 @@ def leaks(items: Items, words: list[str], known: dict, threshold: float) -> list
                     known.clear()
                 known[key] = align(w, h[lo:hi])
             score, first, last = known[key]
-            if best is None or score > best[1]:
+            if score >= least and (best is None or score > best[1]):
                 best = (item, score, lo + first, lo + last)
         if best is not None:
             out.append(best)
@@ -142,25 +143,47 @@ def _scan(items: Items, threshold: float):
     def run(batches):
         known: dict = {}
         for batch in small(batches):
-            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known, threshold) if x[1] >= threshold]
+            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known, threshold)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
     return run
 
 
+def _keep(items: Items, threshold: float):
+    def run(batches):
+        known: dict = {}
+        for batch in small(batches):
+            yield batch.filter(pa.array([not leaks(items, words_of(t), known, threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame):
+    """The items in blocks of about BLOCK_CHARS characters, one at a time."""
+    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    for b in range(blocks):
+        yield Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()))
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Contaminated pairs: doc_id, item_id, score, first_word, last_word (places among the document's lower-cased \\w+ words).
 
-    Null or empty texts contain nothing; items of fewer than LEAST_WORDS words, without text or item_id are not looked for. Rows that repeat
-    a doc_id are reported each. With several places of an item in a document, the best (then first) is reported.
+    Null or empty texts contain nothing; items of fewer than SEED words, without text or item_id are not looked for. Rows that repeat
+    a doc_id are reported each; of rows that repeat an item_id within a block the last text in order counts. With several places of an item in a document, the best (then first) is reported.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     out = None
-    for b in range(blocks):
-        items = Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()))
+    for items in item_blocks(benchmark):
         found = texts.mapInArrow(_scan(items, threshold), "doc_id long, item_id long, score double, first_word long, last_word long")
         out = found if out is None else out.union(found)
     return out
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents in which no item is found. Each row is judged by its own text, whatever its doc_id; nothing is shuffled."""
+    docs = documents.withColumn("text", F.col("text").cast("string"))
+    for items in item_blocks(benchmark):
+        docs = docs.mapInArrow(_keep(items, threshold), docs.schema)
+    return docs

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import HashCache, components, hash_words, materialize, ngram_hashes, small
+from voltaloom.llm.common import HashCache, components, hash_words, materialize, ngram_hashes, small, spread_join
 
 #: Buckets of up to so many nodes form pairs by a join.
 SMALL = 32
@@ -93,12 +93,12 @@ def _survey(k: int):
                 flush()
             rows = len(n)
             empty = [np.empty(0, np.uint64)] * rows
-            cols = [ids, pa.array(n, pa.int64()), _signed(np.array(d1, np.uint64)), _signed(np.array(d2, np.uint64)), _lists(empty), _lists(empty)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "tok", "cnt"])
+            cols = [ids, batch.column("key"), pa.array(n, pa.int64()), _signed(np.array(d1, np.uint64)), _signed(np.array(d2, np.uint64)), _lists(empty), _lists(empty)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "d1", "d2", "tok", "cnt"])
             if freq:
                 none = pa.nulls(len(freq), pa.int64())
-                cols = [none] * 4 + [_lists([t for t, _ in freq]), _lists([c.astype(np.uint64) for _, c in freq])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "tok", "cnt"])
+                cols = [none] * 5 + [_lists([t for t, _ in freq]), _lists([c.astype(np.uint64) for _, c in freq])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "d1", "d2", "tok", "cnt"])
 
     return run
 
@@ -308,15 +308,15 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id.
+    """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id, text_key (xxhash64 of the text).
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Documents link when 100 |A & B| >= percent |A | B|.
     Null and empty texts, or texts of white space: n_shingles 0, linked with nothing, component_id their own doc_id.
     Rows without doc_id: component_id null, and they link with nothing. Repeated doc_ids: a row's class is that of its text.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = materialize(texts.mapInArrow(_survey(shingle), "doc_id long, n long, d1 long, d2 long, tok array<long>, cnt array<long>"), "jac-survey")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    survey = materialize(texts.mapInArrow(_survey(shingle), "doc_id long, key long, n long, d1 long, d2 long, tok array<long>, cnt array<long>"), "jac-survey")
     sizes = survey.where("n is not null")
     counted = survey.where("n is null").select(F.explode(F.arrays_zip("tok", "cnt")).alias("x")).groupBy(F.col("x.tok").alias("tok")).agg(F.sum("x.cnt").alias("df"))
     least = max(CHEAP, -(-(counted.agg(F.sum("df")).first()[0] or 0) // MAX_FREQUENT))  # so the table has MAX_FREQUENT entries at most
@@ -359,12 +359,13 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         comp = components(links.union(materialize(verified(rest, texts, shingle, percent), "jac-more")), "jac-2")
 
     named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sizes.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    placed = spread_join(sizes.where("n > 0 and doc_id is not null"), named, ["d1", "d2"], ["doc_id"], "left").select("doc_id", "n", "key", "component_id")
+    alone = sizes.where("n = 0 or doc_id is null").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"))
+    return placed.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("text_key"))
 
 
 def one_per_class(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents whose doc_id is the smallest of its class; of repeated doc_ids all rows stay; rows without doc_id stay."""
+    """The rows of documents whose doc_id is the smallest of their text's class. Rows that repeat both doc_id and text share its fate, rows without doc_id stay."""
     classes = jaccard_classes(documents, shingle, percent)
-    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "jac-gone")
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "jac-gone")
+    return documents.join(gone, (documents["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["gone_key"]), "left_anti")

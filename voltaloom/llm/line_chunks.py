@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize, small
+from voltaloom.llm.common import materialize, small, spread_join
 
 WINDOW_WORDS, LONG_LINE = 6, 25
 MIN_WORDS = 40
@@ -72,8 +72,9 @@ def _rows(batch, *names):
 
 def _hashes(batches):
     for batch in small(batches):
-        got = [(i, chunks(t)) for i, t in _rows(batch, "doc_id", "text") if i is not None and t]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([[c[0] for c in x] for _, x in got], pa.list_(pa.int64()))], ["doc_id", "h"])
+        got = [(i, k, chunks(t)) for i, k, t in _rows(batch, "doc_id", "key", "text") if i is not None and t]
+        ids = [pa.array([g[n] for g in got], pa.int64()) for n in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array([[c[0] for c in x] for *_, x in got], pa.list_(pa.int64()))], ["doc_id", "key", "h"])
 
 
 def _beside(c: list, p: int, step: int) -> list[tuple]:
@@ -97,7 +98,7 @@ def _text(some: list[tuple]) -> bytes:
     return b"\n".join(x for k in some for x in k[2])
 
 
-_OCCURRENCE = "h long, doc_id long, pos int, first boolean, text binary, left binary, right binary"
+_OCCURRENCE = "h long, doc_id long, key long, pos int, first boolean, text binary, left binary, right binary"
 
 
 def _occurrences(min_words: int):
@@ -106,17 +107,17 @@ def _occurrences(min_words: int):
     def run(batches):
         for batch in small(batches):
             rows = []
-            for i, t, marks in _rows(batch, "doc_id", "text", "marks"):
+            for *i, t, marks in _rows(batch, "doc_id", "key", "text", "marks"):
                 c = chunks(t)
                 good = {m["pos"]: m["first"] for m in marks if m["pos"] < len(c) and c[m["pos"]][0] == m["h"]}
                 for p in (p for p, first in good.items() if first):
-                    rows.append((c[p][0], i, p, True, _text(c[p : p + 1]), _text(_beside(c, p, -1)), _text(_beside(c, p, 1))))
+                    rows.append((c[p][0], *i, p, True, _text(c[p : p + 1]), _text(_beside(c, p, -1)), _text(_beside(c, p, 1))))
                 again = sorted(p for p, first in good.items() if not first)
                 for lo, hi in _runs(again):
                     if sum(x[1] for x in _beside(c, lo, -1) + c[lo : hi + 1] + _beside(c, hi, 1)) >= min_words:
-                        rows += [(c[p][0], i, p, False, _text(c[p : p + 1]), _text(_beside(c, p, -1)) if p == lo else b"", _text(_beside(c, p, 1)) if p == hi else b"") for p in range(lo, hi + 1)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "doc_id", "pos", "first", "text", "left", "right"])
+                        rows += [(c[p][0], *i, p, False, _text(c[p : p + 1]), _text(_beside(c, p, -1)) if p == lo else b"", _text(_beside(c, p, 1)) if p == hi else b"") for p in range(lo, hi + 1)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["h", "doc_id", "key", "pos", "first", "text", "left", "right"])
 
     return run
 
@@ -148,9 +149,9 @@ def _same(a: bytes, b: bytes, back: bool) -> int:
 def _compare(batches):
     """Byte comparison with the first occurrence, and how many lines of the chunks beside also agree."""
     for batch in small(batches):
-        rows = [(i, p, h, _same(l, fl, True), _same(r, fr, False)) for i, p, h, t, l, r, ft, fl, fr in _rows(batch, "doc_id", "pos", "h", "text", "left", "right", "ft", "fl", "fr") if t == ft]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "pos", "h", "el", "er"])
+        rows = [(i, k, p, h, _same(l, fl, True), _same(r, fr, False)) for i, k, p, h, t, l, r, ft, fl, fr in _rows(batch, "doc_id", "key", "pos", "h", "text", "left", "right", "ft", "fl", "fr") if t == ft]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "key", "pos", "h", "el", "er"])
 
 
 def _cut(min_words: int):
@@ -189,23 +190,27 @@ def _cut(min_words: int):
 def remove_repeated_chunks(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of documents (doc_id long, text, any others) with repeated passages cut out of text, and removed_lines, removed_words.
 
-    The first occurrence stays. Null and empty texts and rows without doc_id come back unchanged with 0 removed. Rows that repeat a
-    doc_id are one document: a passage that stands first in it stays in each of them. Columns of documents named like the two
-    added ones are replaced.
+    The first occurrence stays. Null and empty texts and rows without doc_id come back unchanged with 0 removed. Rows that repeat doc_id and text
+    are one document: a passage that stands first in it stays in each of them; rows that repeat a doc_id with another text are documents of their
+    own, ordered by a hash of the text. Columns of documents named like the added ones, or `cuts`, are replaced or left out.
     """
     names = [c for c in documents.columns if c not in ("removed_lines", "removed_words", "cuts")]
     docs = documents.select(*names).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    pairs = docs.select("doc_id", "text")
-    listed = materialize(pairs.mapInArrow(_hashes, "doc_id long, h array<long>"), "chunk-hashes")
-    each = listed.select("doc_id", F.posexplode("h").alias("pos", "h"))
-    again = each.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "pos")).alias("f")).where("c > 1").select("h", "f")
-    marked = each.join(again, "h").select("doc_id", F.struct("pos", "h", ((F.col("doc_id") == F.col("f.doc_id")) & (F.col("pos") == F.col("f.pos"))).alias("first")).alias("m"))
-    marks = materialize(marked.groupBy("doc_id").agg(F.collect_list("m").alias("marks")), "chunk-marks")
-    found = materialize(pairs.where("text is not null").join(marks, "doc_id").mapInArrow(_occurrences(min_words), _OCCURRENCE), "chunk-texts")
+    pairs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    same = ["doc_id", "key"]
+    listed = materialize(pairs.mapInArrow(_hashes, "doc_id long, key long, h array<long>"), "chunk-hashes")
+    each = listed.select(*same, F.posexplode("h").alias("pos", "h"))
+    first = F.min(F.struct(*same, "pos")).alias("f")
+    again = materialize(each.groupBy("h").agg(F.count("*").alias("c"), first).where("c > 1").select("h", "f"), "chunk-again")
+    is_first = F.struct(*same, "pos") == F.col("f")
+    marked = spread_join(each, again, ["h"], same).select(*same, F.struct("pos", "h", is_first.alias("first")).alias("m"))
+    marks = materialize(marked.groupBy(*same).agg(F.collect_set("m").alias("marks")), "chunk-marks")  # a set: repeated rows add nothing
+    found = materialize(pairs.where("text is not null").join(marks, same).mapInArrow(_occurrences(min_words), _OCCURRENCE), "chunk-texts")
     firsts = found.where("first").groupBy("h").agg(F.first("text").alias("ft"), F.first("left").alias("fl"), F.first("right").alias("fr"))
-    equal = found.where("not first").join(firsts, "h").mapInArrow(_compare, "doc_id long, pos int, h long, el int, er int")
-    cuts = materialize(equal.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "el", "er")).alias("cuts")), "chunk-cuts")
-    joined = docs.join(cuts, "doc_id", "left")
+    equal = spread_join(found.where("not first"), firsts, ["h"], same).mapInArrow(_compare, "doc_id long, key long, pos int, h long, el int, er int")
+    cuts = equal.groupBy(*same).agg(F.collect_set(F.struct("pos", "h", "el", "er")).alias("cuts"))
+    cuts = materialize(cuts.select(F.col("doc_id").alias("cut_id"), F.col("key").alias("cut_key"), "cuts"), "chunk-cuts")
+    joined = docs.join(cuts, (docs["doc_id"] == cuts["cut_id"]) & (F.xxhash64(docs["text"]) == cuts["cut_key"]), "left")
     order = [c for c in names if c != "text"]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in order] + ["text string", "removed_lines long", "removed_words long"]
-    return joined.select(*order, "text", "cuts").mapInArrow(_cut(min_words), ", ".join(fields)).select(*names, "removed_lines", "removed_words")
+    return joined.select(*(docs[c] for c in order), docs["text"], cuts["cuts"]).mapInArrow(_cut(min_words), ", ".join(fields)).select(*names, "removed_lines", "removed_words")

@@ -2,7 +2,7 @@
 
 A document's rules give counts and a base verdict. Failures are summed by host, each host's rate is shrunk towards a beta prior that is
 fitted to all hosts by moments, and the host's verdict is joined back: documents of a host whose shrunken failure
-rate reaches HOST_RATE are rejected. The few rows of hosts are joined with the documents' counts, not texts.
+rate reaches HOST_RATE are rejected. Hosts are joined with the documents' counts, not texts; a host of many documents is dealt over tasks.
 
 Repeated 8-word windows are found by 64-bit window hashes within one text.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import WORD_SPACE, materialize
+from voltaloom.llm.common import WORD_SPACE, materialize, spread_join
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT, HOST_RATE = 8, 20, 30, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -79,6 +79,6 @@ def judge(documents: DataFrame, host: Column) -> DataFrame:
     Repeated rows count each. An empty table gives no rows.
     """
     rules = materialize(text_rules(documents.select("doc_id", host.cast("string").alias("host"), "text")), "quality")
-    joined = rules.join(host_rates(rules).select("host", F.col("rate").alias("host_rate")), "host", "left")
+    joined = spread_join(rules, host_rates(rules).select("host", F.col("rate").alias("host_rate")), ["host"], ["doc_id"], "left")
     kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) < HOST_RATE)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate")

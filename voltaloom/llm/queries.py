@@ -69,7 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
