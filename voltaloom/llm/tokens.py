@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from voltaloom.llm.common import small
 
-#: Pieces that each generation of a cache holds at most, and that are encoded in one text.
-CACHE, JOINED = 400_000, 32
+#: Pieces that each generation of a cache holds at most.
+CACHE = 1_000_000
 
 #: White space in Python, but not in the tokenizers; and what marks keys.
 _CONTROL = re.compile("[\x00\x1c-\x1f]")
@@ -30,29 +30,32 @@ _RUN = re.compile(r"\s\s\s|\s\s\Z")
 #: Pieces of any text: all but the last of a run of white space before a word; a word with the one before; a run at the end.
 _PIECE = re.compile(r"\s+(?=\s\S)|\s?\S+|\s+")
 _PLAIN = re.compile(r" ?\S+")
-#: Pieces of one or two pre-tokens: ASCII letters (or, in byte-level tokenizers, digits) and the ASCII marks that end them.
-_SIMPLE = {"byte": re.compile("( ?(?:[A-Za-z]+|[0-9]+))([!-&(-/:-@\\[-`{-~]*)"), "word": re.compile("([a-z]+)([!-&(-/:-@\\[-`{-~]*)")}
+_MARKS = "([!-&(-/:-@\\[-`{-~]*)"
+#: Pieces of one or two pre-tokens: letters (or, in byte-level tokenizers, digits) and the ASCII marks that end them.
+_SIMPLE = {"byte": re.compile("( ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+))" + _MARKS), "word": re.compile("([a-z]+)" + _MARKS)}
+#: Byte-level letters: printable Latin-1 characters stand for themselves, the others for those from U+0100 on, in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
 _COMBINING = re.compile("[̀-ͯ]")
 _encoders: dict[str, Encoder] = {}
 
 
-class Memo:
-    """What make gives for each of some keys, kept in two generations: keys in use pass on to the new one."""
+class Memo(dict):
+    """What make gives for a key, kept in two generations: keys still in use pass on to the new one."""
 
     def __init__(self, make, limit: int = CACHE):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def ready(self, wanted: set[str]) -> dict:
-        """A mapping that holds all wanted keys."""
-        missing = wanted.difference(self.new)
-        if missing and self.new and len(self.new) + len(missing) > self.limit:
-            self.old, self.new, missing = self.new, {}, wanted
-        if missing:
-            old = self.old
-            self.new.update((k, old[k]) for k in missing if k in old)
-            fresh = [k for k in missing if k not in old]
-            self.new.update(zip(fresh, self.make(fresh), strict=True))
-        return self.new
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -70,16 +73,13 @@ class Encoder:
         kinds = [x["type"] for x in norm.get("normalizers", [])]
         split = (pre.get("pretokenizers") or [{}])[0]
         self.special = [x["content"].lower() for x in spec["added_tokens"]]
-        self.kind, sep = "whole", ""
+        self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not norm:
-            self.kind, sep = "byte", "\n"
+            self.kind = "byte"
         elif kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and "\\s" in split["pattern"]["Regex"]:
-            self.kind, sep = "word", "\x01"
+            self.kind = "word"
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
-        self.between = f" {sep} " if self.kind == "word" else sep
-        self.mark = self.raw(sep) if sep else []
-        if len(self.mark) != 1:
-            self.kind = "whole"
+        self.feed = np.array(self.raw("\n"), self.dtype).tobytes()
         self.ids, self.spans = Memo(self.piece_ids), Memo(self.piece_spans)
 
     def raw(self, text: str) -> list[int]:
@@ -106,69 +106,44 @@ class Encoder:
         """White space before a word belongs to it: keys leave out a space; with a NUL before them they leave out nothing."""
         return key if self.kind == "word" or key[:1] == "\n" else key[1:] if key[:1] == "\x00" else " " + key
 
-    def simple(self, pieces: list[str]):
-        """(place, tokens of the library's model, one list for each pre-token) of the pieces known to be one or two pre-tokens."""
-        match, model = _SIMPLE[self.kind].fullmatch, self.tokenizer.model.tokenize
-        for k, p in enumerate(pieces):
-            if m := match(p):
-                word, marks = m.groups()
-                if word[0] == " ":
-                    word = "\u0120" + word[1:]  # the byte-level letter for a space
-                yield k, model(word) + model(marks) if marks else model(word)
-
-    def batches(self, pieces: list[str], places: list[int]):
-        """(places of pieces, text of them all with a mark between): a piece that may not stand so is its own batch."""
-        plain = [k for k in places if _PLAIN.fullmatch(pieces[k]) and "\x01" not in pieces[k]]
-        for lo in range(0, len(plain), JOINED):
-            at = plain[lo : lo + JOINED]
-            yield at, self.between.join([pieces[k] for k in at])
-        if len(plain) < len(places):
-            for k in set(places).difference(plain):
-                yield [k], pieces[k]
-
-    def split(self, ids: np.ndarray, n: int) -> list[tuple[int, int]]:
-        """First and last token of each of n pieces."""
-        ends = np.append(np.nonzero(ids == self.mark[0])[0], len(ids)) if n > 1 else np.array([len(ids)])
-        return list(zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True))
-
-    def piece_ids(self, keys: list[str]) -> list[bytes]:
-        feed, pack = np.array(self.mark, self.dtype).tobytes(), array
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        line = [self.kind == "byte" and k[:1] == "\n" and k[1:2] != " " and _PLAIN.fullmatch(k, 1) is not None for k in keys]
-        pieces = [k[1:] if x else self.piece(k) for k, x in zip(keys, line, strict=True)]
-        out: list[bytes | None] = [None] * len(pieces)
-        for k, tokens in self.simple(pieces):
-            out[k] = pack(code, [t.id for t in tokens]).tobytes()
-        for at, text in self.batches(pieces, [k for k, x in enumerate(out) if x is None]):
-            ids = np.array(self.raw(text), self.dtype)
-            for k, (a, b) in zip(at, self.split(ids, len(at)), strict=True):
-                out[k] = ids[a:b].tobytes()
-        return [feed + x if f else x for x, f in zip(out, line, strict=True)]
-
-    def piece_spans(self, keys: list[str]) -> list[tuple[bytes, bytes, int]]:
-        pieces = [self.piece(k) for k in keys]
-        out: list[tuple | None] = [None] * len(pieces)
-        for k, tokens in self.simple(pieces):  # ASCII: a byte is a character
+    def tokens(self, piece: str) -> list | None:
+        """Tokens of the library's model for a piece that is known to be one or two pre-tokens."""
+        m = _SIMPLE[self.kind].fullmatch(piece)
+        if m is None:
+            return None
+        word, marks = m.groups()
+        if self.kind == "byte":
+            word = word.replace(" ", "\u0120") if piece.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        tokenize = self.tokenizer.model.tokenize
+        return tokenize(word) + tokenize(marks) if marks else tokenize(word)
+
+    def piece_ids(self, key: str) -> bytes:
+        if key[:1] == "\n" and _PLAIN.fullmatch(key, 1) and key[1] != " " and self.kind == "byte":  # the line feed is a pre-token
+            return self.feed + self.ids["\x00" + key[1:]]
+        piece = self.piece(key)
+        tokens = self.tokens(piece)
+        return np.array(self.raw(piece) if tokens is None else [t.id for t in tokens], self.dtype).tobytes()
+
+    def piece_spans(self, key: str) -> tuple[bytes, bytes, int]:
+        piece = self.piece(key)
+        tokens = self.tokens(piece) if piece.isascii() else None
+        if tokens is not None:  # a byte is a character
             ends = list(accumulate([len(t.value) for t in tokens]))
-            out[k] = (array("i", [0, *ends[:-1]]).tobytes(), array("i", ends).tobytes(), ends[-1])
-        for at, text in self.batches(pieces, [k for k, x in enumerate(out) if x is None]):
-            e = self.tokenizer.encode_batch([text], add_special_tokens=False)[0]
-            spans, base = np.array(e.offsets, np.int32).reshape(-1, 2), 0
-            for k, (a, b) in zip(at, self.split(np.array(e.ids), len(at)), strict=True):
-                out[k] = ((spans[a:b, 0] - base).tobytes(), (spans[a:b, 1] - base).tobytes(), len(pieces[k]))
-                base += len(pieces[k]) + len(self.between)
-        return out
+            return array("i", [0, *ends[:-1]]).tobytes(), array("i", ends).tobytes(), ends[-1]
+        e = self.tokenizer.encode_batch([piece], add_special_tokens=False)[0]
+        starts, ends = np.array(e.offsets, np.int32).reshape(-1, 2).T
+        return starts.tobytes(), ends.tobytes(), len(piece)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
         cut = [None if self.whole(t) else self.cut(t) for t in texts]
-        get = self.ids.ready(set().union(*filter(None, cut))).__getitem__
+        get = self.ids.__getitem__
         return [np.array(self.raw(t), self.dtype) if c is None else np.frombuffer(b"".join(map(get, c)), self.dtype) for t, c in zip(texts, cut, strict=True)]
 
     def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Character spans (starts, ends) of each text's tokens."""
         cut = [None if self.kind != "byte" or self.whole(t) else self.cut(t) for t in texts]
-        held = self.spans.ready(set().union(*filter(None, cut)))
+        held = self.spans
         out = []
         for t, c in zip(texts, cut, strict=True):
             if c is None:
