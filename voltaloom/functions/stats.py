@@ -51,3 +51,57 @@ def with_pearson_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
             yield pdf.assign(p=[kernels.pearson_p(a, int(b)) if a == a else None for a, b in zip(pdf[r], pdf[n], strict=True)])
 
     return df.mapInPandas(run, df.schema.add("p", "double"))
+
+
+def geometric_z(value: str, keys: list[str]) -> F.Column:
+    """z of the logarithm over all rows of the keys, population deviation; null for values that have none."""
+    x = F.ln(F.when(F.col(value) > 0, F.col(value)))
+    w = Window.partitionBy(*keys)
+    return F.try_divide(x - F.avg(x).over(w), F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)))
+
+
+def mann_whitney_pairs(df: DataFrame, value: str, group: str, keys: list[str]) -> DataFrame:
+    """u of group a, and z with tie and continuity correction, of every pair a < b of a facet's groups.
+
+    Values are counted by distinct value first, so the pairs meet on the few rows of groups and values that differ, not on all rows.
+    """
+    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    groups = counts.select(*keys, "g").distinct()
+    pairs = groups.withColumnRenamed("g", "a").join(groups.withColumnRenamed("g", "b"), keys).where("a < b")
+    rows = pairs.join(counts, keys).where("g = a or g = b")
+    at = rows.groupBy(*keys, "a", "b", "v").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum("c").alias("t"))
+    w = Window.partitionBy(*keys, "a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = at.withColumn("rk", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2.0)
+    t = F.col("t").cast("double")
+    s = ranked.groupBy(*keys, "a", "b").agg(F.sum(F.col("ca") * F.col("rk")).alias("r"), F.sum("ca").cast("double").alias("n1"), F.sum("t").cast("double").alias("n"), F.sum(t * t * t - t).alias("ties"))
+    n1, n, n2 = F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
+    u, sd = F.col("r") - n1 * (n1 + 1) / 2, F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    shift = u - n1 * n2 / 2
+    return s.select(*keys, "a", "b", u.alias("u"), F.try_divide(shift - 0.5 * F.signum(shift), F.nullif(sd, F.lit(0.0))).alias("z"))
+
+
+def qq_points(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
+    """position: the share (i - 0.5) / n of each value in ascending order, whose normal quantile a QQ plot sets against it."""
+    w = Window.partitionBy(*keys)
+    known = df.where(F.col(value).isNotNull())
+    return known.withColumn("position", (F.row_number().over(w.orderBy(value, *order)) - 0.5) / F.count(F.lit(1)).over(w))
+
+
+def normal_quantile(p: F.Column) -> F.Column:
+    """Quantile of the normal distribution by Acklam's rational approximation; null outside (0, 1)."""
+    # The approximation's coefficients.
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+    def poly(k, x):
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + v
+        return out
+
+    low = 0.02425
+    q, tail = p - 0.5, F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    mid = poly(a, q * q) * q / poly(b, q * q)
+    return F.when((p <= 0) | (p >= 1), None).when(p < low, poly(c, tail) / poly(d, tail)).when(p > 1 - low, -poly(c, tail) / poly(d, tail)).otherwise(mid)

@@ -60,3 +60,22 @@ def averages(spikes: DataFrame, samples: DataFrame, half: int) -> DataFrame:
     near = spikes.select("animalday", "channel", F.col("sample_idx").alias("at")).withColumn("lag", F.explode(F.sequence(F.lit(-half), F.lit(half))))
     near = near.withColumn("sample_idx", F.col("at") + F.col("lag"))
     return near.join(samples, ["animalday", "channel", "sample_idx"]).groupBy("animalday", "channel", "lag").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+
+
+def annotations(spikes: DataFrame, fs: float, channels: list[str]) -> DataFrame:
+    """onset in seconds, counted from sample 1, and description of each spike: Spike_Ch and the channel's place in channels."""
+    at = F.array_position(F.array(*(F.lit(c) for c in channels)), F.col("channel")) - 1
+    return spikes.withColumn("onset", (F.col("sample_idx") + 1) / F.lit(float(fs))).withColumn("description", F.concat(F.lit("Spike_Ch"), at.cast("string")))
+
+
+def channel_counts(spikes: DataFrame, channels: DataFrame) -> DataFrame:
+    """nspike of every channel (animalday, channel), 0 where none was found, and the session's total."""
+    n = spikes.groupBy("animalday", "channel").agg(F.count("*").alias("nspike"))
+    every = channels.select("animalday", "channel").distinct().join(n, ["animalday", "channel"], "left").withColumn("nspike", F.coalesce("nspike", F.lit(0)).cast("long"))
+    total = spikes.groupBy("animalday").agg(F.count("*").alias("total"))
+    return every.join(total, "animalday", "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
+
+
+def truncate(spikes: DataFrame, max_length: int | None) -> DataFrame:
+    """Spikes of the first max_length samples; all where it is None."""
+    return spikes if max_length is None else spikes.where(F.col("sample_idx") < max_length)

@@ -1 +1,5 @@
-"""Queries composed of the operators."""
+"""Queries over the driver's tables with their SQL; importing the package registers those of all its modules."""
+
+from voltaloom.plans import queries, session_queries
+
+__all__ = ["queries", "session_queries"]
