@@ -99,12 +99,12 @@ def q76_bad_channel_union(spark, d):
     return M.merge_bad(_bad(spark, d), new).withColumnRenamed("animalday", "animal")
 
 
-@query(f"WITH {DAILY}, p AS (SELECT a.animal, a.day, a.channel, b.channel AS channel2, a.rms * b.rms AS value FROM daily a JOIN daily b ON a.animal = b.animal AND a.day = b.day), k AS (SELECT animal, day, channel, rms <= 100 AS keep FROM daily) SELECT p.animal, p.day, p.channel, p.channel2, round(CASE WHEN x.keep AND y.keep THEN value END, 3) AS value FROM p JOIN k x ON p.animal = x.animal AND p.day = x.day AND p.channel = x.channel JOIN k y ON p.animal = y.animal AND p.day = y.day AND p.channel2 = y.channel")
+@query(f"WITH {DAILY}, p AS (SELECT a.animal, a.day, a.channel, b.channel AS channel2, a.rms + b.rms AS value FROM daily a JOIN daily b ON a.animal = b.animal AND a.day = b.day), k AS (SELECT animal, day, channel, rms <= 100 AS keep FROM daily) SELECT p.animal, p.day, p.channel, p.channel2, round(CASE WHEN x.keep AND y.keep THEN value END, 6) AS value FROM p JOIN k x ON p.animal = x.animal AND p.day = x.day AND p.channel = x.channel JOIN k y ON p.animal = y.animal AND p.day = y.day AND p.channel2 = y.channel")
 def q77_matrix_mask(spark, d):
     x = daily(spark, d).select("animal", "day", "channel", "rms")
-    pairs = x.join(x.select("animal", "day", F.col("channel").alias("channel2"), F.col("rms").alias("rms2")), ["animal", "day"]).withColumn("value", F.col("rms") * F.col("rms2"))
+    pairs = x.join(x.select("animal", "day", F.col("channel").alias("channel2"), F.col("rms").alias("rms2")), ["animal", "day"]).withColumn("value", F.col("rms") + F.col("rms2"))
     kept = x.withColumn("keep", F.col("rms") <= 100)
-    return M.apply_pair_mask(pairs, kept, ["value"], ["animal", "day"]).select("animal", "day", "channel", "channel2", F.round("value", 3).alias("value"))
+    return M.apply_pair_mask(pairs, kept, ["value"], ["animal", "day"]).select("animal", "day", "channel", "channel2", r6("value").alias("value"))
 
 
 @query(f"WITH {DAILY} SELECT animal, day, channel, round(CASE WHEN n > 1 THEN rms END, 6) AS value FROM daily")
