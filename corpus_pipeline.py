@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: No stage before packing, nor packing itself, can be told in SQL; the stages are tested against brute force.
+#: No stage before packing, nor packing itself, can be told in SQL; the operators they call are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
