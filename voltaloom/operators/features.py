@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voltaloom import constants as C
@@ -24,8 +25,12 @@ def requested(features: str | list[str] = "all", exclude: list[str] = ()) -> lis
     return names
 
 
-def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welch_s: float = 1.0) -> dict[str, np.ndarray]:
-    """Features of windows (B, C, N) of one length, each prerequisite computed once."""
+def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welch_s: float = 1.0, multitaper: bool = False, full: int | None = None) -> dict[str, np.ndarray]:
+    """Features of windows (B, C, N) of one length, each prerequisite computed once.
+
+    multitaper: densities by tapers in place of Welch's segments. full: samples of a whole window; densities of windows of another length are brought to its
+    frequencies by Akima's spline, and are NaN where fewer than three frequencies are there.
+    """
     done: dict[str, object] = {}
 
     def get(f: str):
@@ -35,7 +40,13 @@ def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welc
 
     def psd():
         y = K.notch_filter(x, fs) if notch and fs > 2 * C.LINE_HZ and x.shape[-1] > 9 else x
-        return K.welch(y, fs, int(round(welch_s * fs)))
+        segment = int(round(welch_s * fs))
+        f, p = K.multitaper_psd(y, fs) if multitaper else K.welch(y, fs, segment)
+        if full is None or full == x.shape[-1]:
+            return f, p
+        grid = np.fft.rfftfreq(full if multitaper else min(segment, full), 1 / fs)
+        grid = grid[grid <= 40] if multitaper else grid
+        return grid, K.akima(f, p, grid) if len(f) > 2 else np.full((*p.shape[:-1], len(grid)), np.nan)
 
     def make(f: str):
         if f.startswith("log"):
@@ -65,33 +76,49 @@ def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welc
 LONG = "animalday string, frag_idx long, feature string, band string, channel int, channel2 int, freq double, value double"
 
 
-def long_features(fragments: DataFrame, fs: float, features: str | list[str] = "all", exclude: list[str] = (), **options) -> DataFrame:
-    """Long rows of the features of fragments (animalday, frag_idx, signal array<array<double>>, channel-major).
+def _long(days: list, frags: list, feature: str, v) -> list[pa.RecordBatch]:
+    """Rows of LONG of a feature's array, whose axes are window, channel and, for some, second channel or frequency."""
+    freq, parts = (v[0], {None: v[1]}) if isinstance(v, tuple) else (None, v if isinstance(v, dict) else {None: v})
+    out = []
+    for band, a in parts.items():
+        value = np.asarray(a, float).reshape(-1)
+        at = np.indices(np.shape(a), np.int32).reshape(np.ndim(a), -1)
+        n, window, third = len(value), pa.array(at[0]), at[2] if len(at) > 2 else None
+        out.append(pa.RecordBatch.from_arrays([
+            pa.array(days, pa.string()).take(window), pa.array(frags, pa.int64()).take(window), pa.repeat(pa.scalar(feature), n), pa.repeat(pa.scalar(band, pa.string()), n), pa.array(at[1]),
+            pa.array(third) if third is not None and freq is None else pa.nulls(n, pa.int32()), pa.array(freq[third], pa.float64()) if freq is not None else pa.nulls(n, pa.float64()),
+            pa.array(value, mask=~np.isfinite(value)),
+        ], [c.split()[0] for c in LONG.split(", ")]))
+    return out
+
+
+def _channels(signal: pa.ListScalar) -> np.ndarray:
+    """Channels by samples, NaN for null samples; channels of several lengths are a ValueError."""
+    n = len(signal.values)
+    return signal.values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
+def long_features(fragments: DataFrame, fs: float | None, features: str | list[str] = "all", exclude: list[str] = (), length_s: float | None = None, **options) -> DataFrame:
+    """Long rows of the features of fragments (animalday, frag_idx, signal array<array<double>>, channel-major); where fs is None, a column f_s tells the rate.
 
     Windows of equal shape are computed together; what is not finite is NULL; null signals give no rows. Spike counts are filled by count_in_windows.
+    length_s: seconds of a whole window, to whose frequencies the densities of shorter ones are brought.
     """
     names = [f for f in requested(features, exclude) if "nspike" not in f]
 
-    def rows(f, v, keys):
-        freq, parts = (v[0], {None: v[1]}) if isinstance(v, tuple) else (None, v if isinstance(v, dict) else {None: v})
-        for band, a in parts.items():
-            for (b, c, *more), value in np.ndenumerate(a):
-                second = more[0] if more and freq is None else None
-                yield (*keys[b], f, band, c, second, float(freq[more[0]]) if freq is not None else None, float(value) if np.isfinite(value) else None)
-
     def run(batches):
-        for pdf in batches:
-            out, shapes = [], {}
-            for day, frag, signal in zip(pdf.animalday, pdf.frag_idx, pdf.signal, strict=True):
-                if signal is not None and len(signal):
-                    x = np.array([np.asarray(c, float) for c in signal])
-                    shapes.setdefault(x.shape, []).append(((day, frag), x))
-            for got in shapes.values():
-                keys = [k for k, _ in got]
-                for f, v in compute(np.stack([x for _, x in got]), fs, names, **options).items():
-                    out += rows(f, v, keys)
-            frame = type(pdf)(out, columns=[c.split()[0] for c in LONG.split(", ")])
-            yield frame.astype({"frag_idx": "int64", "channel": "Int32", "channel2": "Int32", "freq": "float64", "value": "float64"})
-
-    return fragments.select("animalday", "frag_idx", "signal").mapInPandas(run, LONG)
-
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):  # windows are large; what is held at once stays small
+                batch, shapes = whole.slice(lo, 64), {}
+                rates = [fs] * batch.num_rows if fs is not None else batch.column("f_s").to_pylist()
+                for day, frag, rate, signal in zip(batch.column("animalday").to_pylist(), batch.column("frag_idx").to_pylist(), rates, batch.column("signal"), strict=True):
+                    if signal.is_valid and len(signal.values):
+                        x = _channels(signal)
+                        shapes.setdefault((rate, x.shape), []).append((day, frag, x))
+                for (rate, _), got in shapes.items():
+                    days, frags, xs = zip(*got, strict=True)
+                    full = {"full": round(length_s * rate)} if length_s else {}
+                    for f, v in compute(np.stack(xs), rate, names, **full, **options).items():
+                        yield from _long(days, frags, f, v)
+
+    return fragments.select("animalday", "frag_idx", *(["f_s"] if fs is None else []), "signal").mapInArrow(run, LONG)
