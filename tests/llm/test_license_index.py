@@ -76,3 +76,11 @@ def test_whole_table_against_brute_force_with_clashing_columns(spark):
             up = up.rsplit("/", 1)[0]
         assert got[k].license == want, k
     assert got[902].license == "Proprietary" and got[902].how == "inherited" and got[901].license is None
+
+
+def test_hot_directory_and_root_above_many(spark):
+    grant = next(iter(licenses.FILES.values()))
+    rows = [(k, "plain words", "/r/hot/f" if k % 3 == 0 else f"/r/d{k}/f") for k in range(3600)] + [(4000, grant, "/r/LICENSE"), (4001, "plain words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = licenses.scan_licenses(docs, F.col("path")).groupBy("how", "from_dir").count().collect()
+    assert {(r.how, r.from_dir): r["count"] for r in got} == {("inherited", "/r"): 3600, ("file", None): 1, ("none", None): 1}

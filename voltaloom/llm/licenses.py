@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import materialize, small
+from voltaloom.llm.common import materialize, small, spread_join
 
 # Short notices as they are commonly written, by SPDX name.
 TEMPLATES = {
@@ -189,8 +189,9 @@ def scan_licenses(documents: DataFrame, path: Column) -> DataFrame:
     dirs = scanned.where("path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up"))
-    near = above.join(licensed.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("license", "up"), F.length("up")).alias("from"))
-    out = scanned.join(near, "dir", "left")
+    above = materialize(above, "license-above")  # the topmost directory lies above all others
+    near = spread_join(above, licensed.withColumnRenamed("dir", "up"), ["up"], ["dir"]).groupBy("dir").agg(F.max_by(F.struct("license", "up"), F.length("up")).alias("from"))
+    out = spread_join(scanned, near, ["dir"], ["doc_id", "path"], "left")
     how = F.when(F.col("own").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("from").isNotNull(), "inherited").otherwise("none")
     inherited = F.when(F.col("own").isNull(), F.col("from.up"))
     return out.select("doc_id", "path", F.coalesce("own", "from.license").alias("license"), how.alias("how"), "cosine", inherited.alias("from_dir"))
