@@ -7,7 +7,7 @@ cannot be kept out of it, the estimated number of candidates sets a larger l, an
 must share min(l1, l2) tokens before it is verified. No l exceeds ceil(t n), the fewest tokens that a set of n shares with any
 set it links with, so short texts that share all they can always pass.
 
-* Equal sets are one node from the start, so groups of exact copies never form pairs.
+* Equal sets are one node from the start, whatever their doc_ids, so groups of exact copies never form pairs and two texts of one doc_id stay apart.
 * Buckets (prefix tokens of two nodes or more) of up to SMALL nodes form pairs in a join; larger ones are searched by
   breadth-first search over parity bitmaps in blocks, which emits a spanning forest rather than all pairs.
 * A parity bitmap gives a lower bound of the symmetric difference; pairs that it cannot rule out are verified on
@@ -290,11 +290,12 @@ def _verify(k: int, percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts link. Texts of candidates only travel past the first join."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    t = texts.join(wanted, "doc_id", "left_semi")
-    joined = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts link; reps (id, rep, rep_key) tells a node's text. Texts of candidates only travel past the first join."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    named = reps.join(wanted, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), F.col("rep_key").alias("key"))
+    t = texts.join(named, ["doc_id", "key"]).select("id", "text").dropDuplicates(["id"])
+    joined = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long").distinct()
 
 
@@ -308,12 +309,16 @@ def _cells(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id, text_key (xxhash64 of the text).
+    """One row for each row of documents (doc_id, text): doc_id, n_shingles, component_id, text_key (xxhash64 of the text), head_key.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Documents link when 100 |A & B| >= percent |A | B|.
     Null and empty texts, or texts of white space: n_shingles 0, linked with nothing, component_id their own doc_id.
-    Rows without doc_id: component_id null, and they link with nothing. Repeated doc_ids: a row's class is that of its text.
+    Rows without doc_id: component_id null, and they link with nothing. Repeated doc_ids: a row's class is that of its own text, so rows of one doc_id can be
+    in different classes. component_id is the smallest doc_id of a class and head_key the text_key of one row that has it, the same for the whole class.
+    percent is 50 at least: the search of large buckets compares sets of up to twice the size.
     """
+    if percent < 50:
+        raise ValueError("percent must be 50 or more")
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     survey = materialize(texts.mapInArrow(_survey(shingle), "doc_id long, key long, n long, d1 long, d2 long, tok array<long>, cnt array<long>"), "jac-survey")
@@ -323,9 +328,12 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     top = sorted((int(r.tok) & (1 << 64) - 1, r.df) for r in counted.where(F.col("df") >= least).collect())
     frequent = spark.sparkContext.broadcast((np.array([x[0] for x in top], np.uint64), np.array([x[1] for x in top], np.int64)))
 
-    reps = sizes.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    sets = sizes.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("key", "doc_id").alias("rep_key"))
+    reps = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "jac-sets")  # numbers of nodes, fixed by being written
     kept = texts.mapInArrow(_prefixes(shingle, percent, frequent), "doc_id long, n long, l int, d1 long, d2 long, pre array<long>, sig binary")
-    nodes = materialize(kept.join(reps.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "l", "pre", "sig"), "jac-nodes")
+    nodes = materialize(kept.join(reps.select("d1", "d2", F.col("rep").alias("doc_id"), "id"), ["d1", "d2", "doc_id"]).select("id", "n", "l", "pre", "sig"), "jac-nodes")
+    if nodes.count() > reps.count():  # rows that repeat doc_id and set
+        nodes = materialize(nodes.dropDuplicates(["id"]), "jac-nodes")
     entries = nodes.select(F.explode("pre").alias("tok"), "id", "n", "l")
     shared = nodes.select(F.explode("pre").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     buckets = materialize(entries.join(shared, "tok"), "jac-buckets")
@@ -346,7 +354,7 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     forest = _cells(big.withColumn("comp", F.col("id"))).mapInArrow(_search(percent, False), "a long, b long").distinct()
     first = small_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(forest).distinct()
     tried = materialize(first, "jac-first")
-    links = materialize(verified(tried, texts, shingle, percent), "jac-links")
+    links = materialize(verified(tried, texts, reps, shingle, percent), "jac-links")
     comp = components(links, "jac-1")
 
     label = lambda side: comp.select(F.col("id").alias(side), F.col("component_id").alias(f"c{side}"))
@@ -356,16 +364,23 @@ def jaccard_classes(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     rest_large = _cells(labelled.join(mixed, "tok", "left_semi")).mapInArrow(_search(percent, True), "a long, b long")
     rest = materialize(rest_small.union(rest_large).distinct().join(tried, ["a", "b"], "left_anti"), "jac-rest")
     if rest.limit(1).count():
-        comp = components(links.union(materialize(verified(rest, texts, shingle, percent), "jac-more")), "jac-2")
+        comp = components(links.union(materialize(verified(rest, texts, reps, shingle, percent), "jac-more")), "jac-2")
 
-    named = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    placed = spread_join(sizes.where("n > 0 and doc_id is not null"), named, ["d1", "d2"], ["doc_id"], "left").select("doc_id", "n", "key", "component_id")
-    alone = sizes.where("n = 0 or doc_id is null").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"))
-    return placed.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("text_key"))
+    linked = materialize(reps.join(comp, "id"), "jac-linked")
+    heads = linked.groupBy("component_id").agg(F.min("rep").alias("head_id"), F.min_by("rep_key", "rep").alias("head_key"))
+    named = materialize(spread_join(linked, heads, ["component_id"], ["id"]).select("id", "head_id", "head_key"), "jac-heads")
+    all_sets = reps.join(named, "id", "left").select("d1", "d2", F.coalesce("head_id", "rep").alias("component_id"), F.coalesce("head_key", "rep_key").alias("head_key"))
+    placed = spread_join(sizes.where("n > 0 and doc_id is not null"), all_sets, ["d1", "d2"], ["doc_id"], "left").select("doc_id", "n", "key", "component_id", "head_key")
+    alone = sizes.where("n = 0 or doc_id is null").select("doc_id", "n", "key", F.col("doc_id").alias("component_id"), F.col("key").alias("head_key"))
+    return placed.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("text_key"), "head_key")
 
 
 def one_per_class(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents whose doc_id is the smallest of their text's class. Rows that repeat both doc_id and text share its fate, rows without doc_id stay."""
+    """One document of each class stays: that of its smallest doc_id, and where several of its texts have this doc_id, one of them.
+
+    Rows that repeat both doc_id and text are one document and share its fate; rows without doc_id or without words stay.
+    """
     classes = jaccard_classes(documents, shingle, percent)
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "jac-gone")
+    gone = classes.where("doc_id <> component_id or text_key <> head_key").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone = materialize(gone, "jac-gone")
     return documents.join(gone, (documents["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["gone_key"]), "left_anti")
