@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltaloom.deploy import ship
-from voltaloom.llm import decontaminate, html_text, infill, jaccard, licenses, line_chunks, packing, quality, simple8b, tokens, toxicity
+from voltaloom.llm import decontaminate, hard_negatives, html_text, infill, jaccard, licenses, line_chunks, packing, quality, simple8b, tokens, toxicity, weighted_samples
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key", "head_key")
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_samples.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id"), moved, F.col("embedding"))
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_html_text, op3_licenses, op4_quality, op5_token_counts, op6_packing, op7_toxicity, op8_token_files, op9_line_dedup, op10_jaccard_join, op11_fill_in_middle)
+    found = (op1_decontamination, op2_html_text, op3_licenses, op4_quality, op5_token_counts, op6_packing, op7_toxicity, op8_token_files, op9_line_dedup, op10_jaccard_join, op11_fill_in_middle, op12_weighted_samples, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -145,5 +155,24 @@ FROM c
 """
 
 
+_OP13 = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM r AS a, r WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT * FROM (SELECT anchor_id, row_id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) AS k FROM s WHERE same AND row_id <> anchor_id) WHERE k <= 5
+), n AS (
+  SELECT p.anchor_id, p.row_id AS positive_id, p.score AS positive_score, s.row_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.row_id ORDER BY s.score DESC, s.row_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": _OP4, "op11_fill_in_middle": _OP11}
+    return {"op4_quality": _OP4, "op11_fill_in_middle": _OP11, "op13_hard_negatives": _OP13}
