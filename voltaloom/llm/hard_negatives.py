@@ -254,8 +254,9 @@ def mine_hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5,
     asked = anchors.select(F.col("anchor").alias("query"), "anchor_id", "label", "v", F.lit(-edge).alias("low"), F.lit(edge).alias("high"), "chunk")
     best = _search_forest(forest, asked, chunks, positives, True, dims, most)
     pairs = anchors.join(best.select(F.col("query").alias("anchor"), F.col("rank").alias("place"), F.col("row").alias("positive_id"), F.col("s").alias("positive_score")), "anchor")
-    whole = lambda x: ((x - F.pmod(x, F.lit(100))) / 100).cast("long")  # noqa: E731  hundredths, rounded down
-    pairs = pairs.withColumn("low", -whole(-F.col("positive_score") * low_percent)).withColumn("high", whole(F.col("positive_score") * high_percent))
+    rest = F.pmod("positive_score", F.lit(100))  # hundredths apart, as products of whole scores may not fit a long
+    whole = F.expr("(positive_score - pmod(positive_score, 100L)) div 100L")
+    pairs = pairs.withColumn("low", whole * low_percent + F.ceil(rest * low_percent / 100)).withColumn("high", whole * high_percent + F.floor(rest * high_percent / 100))
     pairs = materialize(pairs.withColumn("query", F.concat_ws("/", "anchor", "place")), "negatives-pairs")
     mined = _search_forest(forest, pairs.where("low <= high"), chunks, negatives, False, dims, most)
     return mined.join(pairs.select("query", "anchor_id", "positive_id", "positive_score"), "query").select("anchor_id", "positive_id", "rank", F.col("row").alias("negative_id"), "positive_score", F.col("s").alias("negative_score"))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Samples of a fingerprint, and how many of them one row computes at once.
-SAMPLES, LANES = 64, 4
+SAMPLES, LANES = 32, 4
 #: Rows that a part of the order by doc_id has about, and the most parts there are.
 PART_ROWS, MAX_PARTS = 1000, 1 << 16
 #: What stands in a fingerprint for a sample of a text without words.
@@ -37,18 +37,19 @@ def least_samples(terms: DataFrame, keys: list[str], weights: list[str], samples
     kept = [*keys, "lane", *[f"l{j}" for j in range(len(weights))]]
     rows = rows.select(*kept, "term", *[F.xxhash64("term", "lane", F.lit(2 * i + k)).alias(f"h{i}{k}") for i in lanes for k in (0, 1)])
     rows = rows.select(
-        *kept, "term",
+        *kept, *[f"h{i}0" for i in lanes],
         *[(-F.log(_uniform(F.col(f"h{i}0"), 0) * _uniform(F.col(f"h{i}0"), 21))).alias(f"r{i}") for i in lanes],
         *[F.log(-F.log(_uniform(F.col(f"h{i}0"), 42) * _uniform(F.col(f"h{i}1"), 0))).alias(f"c{i}") for i in lanes],
         *[_uniform(F.col(f"h{i}1"), 21).alias(f"b{i}") for i in lanes],
     )
     each = [(i, j) for i in lanes for j in range(len(weights))]
-    rows = rows.select(*keys, "lane", "term", *[f"{x}{i}" for x in "rcb" for i in lanes], *[F.floor(F.col(f"l{j}") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{i}{j}") for i, j in each])
+    rows = rows.select(*keys, "lane", *[f"h{i}0" for i in lanes], *[f"{x}{i}" for x in "rcb" for i in lanes], *[F.floor(F.col(f"l{j}") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{i}{j}") for i, j in each])
 
     def sample(i: int, j: int) -> Column:
         r, c, b, t = F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"b{i}"), F.col(f"t{i}{j}")
         order = F.floor((c - r * (t - b + 1) + F.lit(128.0)) * F.lit(float(1 << 23)))  # logarithms lie between -128 and 128
-        return F.shiftleft(order, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64("term", t), 32))
+        mark = F.col(f"h{i}0").bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF))  # tells (term, t) apart within a sample
+        return F.shiftleft(order, 32).bitwiseOR(mark)
 
     least = rows.groupBy(*keys, "lane").agg(*[F.min(sample(i, j)).alias(f"m{i}{j}") for i, j in each])
     packed = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lane", *[f"m{i}{j}" for i, j in each]))).alias("rows"))
@@ -116,22 +117,24 @@ def fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next document, in ascending doc_id.
     Null texts are empty. A text without words has a fingerprint of its own, equal to that of all such texts. Rows of one doc_id count each and follow one
     another by their text; a row without doc_id has an empty text as its next one. Other columns are left out. An empty table gives no rows.
-    Rows are shuffled once, by parts of the order; words, weights and samples stay in their part. A part has about PART_ROWS rows; only the rows
+    Texts are shuffled once, by parts of the order; words, weights and samples stay in their part. A part has about PART_ROWS rows; only the rows
     of one and the same doc_id are never parted.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    keys = ["part", "kind", "at", "doc_id", "n_chars", "edited_sha256", "alone"]
-    rows = in_order(documents).select("part", "kind", "at", "doc_id", n.cast("long").alias("n_chars"), F.col("next_text").isNull().alias("alone"), "text", edited.alias("edited"))
-    rows = rows.select("part", "kind", "at", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "alone", F.posexplode(F.array("text", "edited")).alias("version", "t"))
-    words = rows.select(*keys, "version", F.explode(F.split("t", "[\\x20\\x09-\\x0D]+")).alias("word"))  # an empty word keeps texts without words
-    none = F.col("word") == ""
-    terms = words.groupBy(*keys, F.when(~none, F.xxhash64("word")).alias("term")).agg(*[F.sum(F.when(~none & (F.col("version") == v), 1).otherwise(0)).alias(w) for v, w in enumerate(("own", "changed"))])
-    signed = least_samples(terms, keys, ["own", "changed"], samples)
-    order = W.partitionBy("part").orderBy("at")
-    after = F.when(F.col("alone"), F.transform("own", lambda x: F.lit(None).cast("long"))).otherwise(F.lead("own").over(order))
-    return signed.withColumn("after", after).where("kind <> 1").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
+    rows = in_order(documents).withColumn("edited", edited)
+    keys = ["part", "at"]
+    told = rows.where("kind <> 1").select(*keys, "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("next_text").isNull().alias("alone"))
+    versions = rows.select(*keys, F.posexplode(F.array("text", "edited")).alias("version", "t"))
+    words = versions.select(*keys, "version", F.explode(F.split("t", "[\\x20\\x09-\\x0D]+")).alias("word"))  # an empty word keeps texts without words
+    words = words.select(*keys, "version", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+    terms = words.groupBy(*keys, "term").agg(*[F.count_if(F.col("term").isNotNull() & (F.col("version") == v)).alias(w) for v, w in enumerate(("own", "changed"))])
+    after = F.lead("own").over(W.partitionBy("part").orderBy("at"))
+    signed = least_samples(terms, keys, ["own", "changed"], samples).withColumn("after", after)
+    signed = signed.select(
+        *keys, fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), F.get("own", F.lit(0)).isNull().alias("wordless"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.coalesce("after", "own")).alias("near_next"),
     )
+    near_next = F.when(F.col("alone"), F.col("wordless").cast("double")).otherwise(F.col("near_next"))
+    return told.join(signed, keys).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", near_next.alias("near_next"))
