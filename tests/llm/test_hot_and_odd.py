@@ -118,9 +118,9 @@ def test_recall_of_edited_copies(change):
         elif kind == "cut":
             w = w[: round(share * len(w))]
         doc = text(rng, 30).split() + w + text(rng, 30).split()
-        found += any(x[0] == item for x in decontaminate.leaks(items, doc, {}, decontaminate.THRESHOLD))
+        found += any(x[0] == item for x in decontaminate.leaks(items, doc, {}))
     assert found >= 95
-    assert not any(decontaminate.leaks(items, text(rng, 200).split(), {}, decontaminate.THRESHOLD) for _ in range(20))
+    assert not any(decontaminate.leaks(items, text(rng, 200).split(), {}) for _ in range(20))
 
 
 def test_line_dedup_against_brute_force(spark):

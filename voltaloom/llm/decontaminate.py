@@ -1,10 +1,11 @@
-"""Benchmark decontamination: n-gram seeds find places, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: groups of rare words seed places, Smith-Waterman alignment of words scores them.
 
 Test items are the query set: they are collected in blocks of at most BLOCK_CHARS characters, which bounds what the workers hold, and
-all documents are run against each block. Every word n-gram of an item is a seed, however many documents hold it: copies of one
-edited version make its n-grams frequent just as everyday phrases are. Around a seed the words that the item shares are counted,
-each as often as both hold it; twice that number is the most an alignment can score, so where it stays below the threshold
-nothing is aligned. Elsewhere the words around are aligned with the whole item, so edited and paraphrased copies score by what they keep.
+all documents are run against each block. An alignment that reaches the threshold matches at least that share of an item's words and spans
+a bounded number of words. Of any chosen words of an item, then, all but the unmatched ones stand near each other in the document: an item's seed is `need` of its
+`rare` words, in any order and with any gaps, within that span. Whatever was replaced, inserted, cut or swapped, a seed is left, so no alignment is missed. Which
+words are taken as rare, by their counts in a sample of SAMPLE_ROWS documents, decides the cost only. Around a seed the words that the item shares are counted,
+each as often as both hold it; where they are too few for the threshold nothing is aligned. Elsewhere the item is aligned with the words around.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import ngram_hashes, small
+from voltaloom.llm.common import small
 
-#: Words of a seed; words below which an item must stand whole; characters of a block of items.
-SEED, SHORT, BLOCK_CHARS = 4, 8, 8_000_000
+#: Words that an item has at least; words below which it must stand whole; characters of a block of items.
+LEAST_WORDS, SHORT, BLOCK_CHARS = 4, 8, 8_000_000
+#: Rows whose words tell which words are rare, and the part of an item's words that a seed has beyond what must match anyway.
+SAMPLE_ROWS, SPARE = 2000, 0.2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -56,47 +59,61 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * max(1, len(item))), *span
 
 
-def _gram(h: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """ngram_hashes at some places only."""
-    return ngram_hashes(np.stack([h[places + i] for i in range(SEED)]), SEED)[0] if len(places) else np.empty(0, np.uint64)
-
-
 class Items:
-    """One block of items: word hashes and the places of their n-grams."""
+    """One block of items: their words' numbers, and for each rare word the items that it seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.words = {}
-        self.vocabulary: dict[str, int] = {}
-        self.places: dict[int, list[tuple[int, int]]] = {}
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD, frequency: dict[str, int] | None = None):
+        self.words, self.vocabulary = {}, {}
         for item, text in rows:
             w = words_of(text)
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-            h = self.numbers(w)
-            if len(h) >= SEED:
-                self.words[item] = h
-                for at, g in enumerate(ngram_hashes(h, SEED).tolist()):
-                    self.places.setdefault(g, []).append((item, at))
-        self.sorted = np.array(sorted(self.places), np.uint64)
+            if len(w) >= LEAST_WORDS:
+                self.words[item] = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.uint64)
         self.counts = {item: Counter(h.tolist()) for item, h in self.words.items()}
+        self.ids = np.array(sorted(self.words), np.int64)
+        self.threshold, self.need, self.span = {}, np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+        inside = Counter(x for c in self.counts.values() for x in c)
+        often = {n: (1 + (frequency or {}).get(x, 0)) * inside[n] for x, n in self.vocabulary.items()}
+        seeds: list[tuple[int, int]] = []
+        for k, item in enumerate(self.ids.tolist()):
+            w = self.words[item].tolist()
+            least = self.threshold[item] = max(threshold, 1.0) if len(w) < SHORT else threshold
+            matched = max(1, int(np.ceil(least * len(w) - 1e-9)))  # words that an alignment at the threshold matches at least
+            self.need[k] = min(matched, max(1, int(SPARE * len(w))))
+            self.span[k] = len(w) + int((MATCH * (1 - least) * len(w)) // -GAP)  # and the words that it spans at most
+            rare = sorted(w, key=lambda x: (often[x], x))[: len(w) - matched + int(self.need[k])]
+            seeds += [(x, k) for x in set(rare)]
+        seeds.sort()
+        self.seeded = np.array([k for _, k in seeds], np.int64)
+        self.first = np.searchsorted(np.array([x for x, _ in seeds], np.int64), np.arange(len(self.vocabulary) + 2))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Each word's number in the block's vocabulary; 0, which no item holds, for all others."""
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
 
-    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the n-grams of h that are n-grams of an item."""
-        known, n = h > 0, len(h) - SEED + 1
-        if n < 1 or not len(self.sorted):
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        full = known[:n].copy()
-        for i in range(1, SEED):
-            full &= known[i : i + n]
-        places = np.nonzero(full)[0]
-        g = ngram_hashes(h, SEED)[places] if 4 * len(places) > n else _gram(h, places)
-        at = np.minimum(np.searchsorted(self.sorted, g), len(self.sorted) - 1)
-        ok = self.sorted[at] == g
-        return places[ok], g[ok]
+    def regions(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to) of all places of h in which an alignment at the threshold can lie; those of an item do not overlap."""
+        at = np.flatnonzero(h)
+        v = h[at].astype(np.int64)
+        many = self.first[v + 1] - self.first[v]
+        total = int(many.sum())
+        if not total:
+            return []
+        items = self.seeded[np.arange(total) - np.repeat(np.cumsum(many) - many - self.first[v], many)]
+        key = np.sort((items << 32) | np.repeat(at, many))
+        items, places = key >> 32, key & 0xFFFFFFFF
+        end = np.arange(total) + self.need[items] - 1
+        inside = np.flatnonzero(end < total)
+        begin, end = inside, end[inside]
+        near = (items[end] == items[begin]) & (places[end] - places[begin] < self.span[items[begin]])
+        begin, end = begin[near], end[near]
+        out: list[tuple[int, int, int]] = []
+        for k, a, b, span in zip(items[begin].tolist(), places[begin].tolist(), places[end].tolist(), self.span[items[begin]].tolist(), strict=True):
+            lo, hi = max(0, b - span + 1), min(len(h), a + span)
+            if out and out[-1][0] == k and lo <= out[-1][2]:
+                out[-1] = (k, out[-1][1], max(hi, out[-1][2]))
+            else:
+                out.append((k, lo, hi))
+        return [(int(self.ids[k]), lo, hi) for k, lo, hi in out]
 
 
 def shared(counts: Counter, window: list[int]) -> int:
@@ -104,79 +121,82 @@ def shared(counts: Counter, window: list[int]) -> int:
     return sum(min(n, counts[w]) for w, n in Counter(filter(counts.__contains__, window)).items())
 
 
-def leaks(items: Items, words: list[str], known: dict, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word) of each item whose best alignment with words reaches the threshold; items of fewer than SHORT words must stand whole."""
+def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, last word) of each item whose best alignment with words reaches its threshold; items of fewer than SHORT words must stand whole."""
     h = items.numbers(words)
-    at, grams = items.found(h)
-    if not len(at):
+    found = items.regions(h)
+    if not found:
         return []
-    starts: dict[int, set[int]] = {}
-    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-        for item, q in items.places[g]:
-            starts.setdefault(item, set()).add(p - q)
-    out, listed = [], h.tolist()
-    for item, begins in sorted(starts.items()):
-        w, counts = items.words[item], items.counts[item]
-        slack, best, covered = len(w) // 2 + 2, None, -(1 << 60)
-        least = max(threshold, 1.0) if len(w) < SHORT else threshold
-        for b in sorted(begins):
-            if b <= covered:
-                continue
-            lo, hi = max(0, b - slack), min(len(h), b + len(w) + 2 * slack)
-            covered = b + slack
-            if shared(counts, listed[lo:hi]) / len(w) < least:
-                continue
-            key = (item, h[lo:hi].tobytes())
-            if key not in known:
-                if len(known) > 20_000:
-                    known.clear()
-                known[key] = align(w, h[lo:hi])
-            score, first, last = known[key]
-            if score >= least and (best is None or score > best[1]):
-                best = (item, score, lo + first, lo + last)
-        if best is not None:
-            out.append(best)
-    return out
-
-
-def _scan(items: Items, threshold: float):
+    best, listed = {}, h.tolist()
+    for item, lo, hi in found:
+        w, counts, least = items.words[item], items.counts[item], items.threshold[item]
+        if shared(counts, listed[lo:hi]) < least * len(w) - 1e-9:
+            continue
+        key = (item, h[lo:hi].tobytes())
+        if key not in known:
+            if len(known) > 20_000:
+                known.clear()
+            known[key] = align(w, h[lo:hi])
+        score, first, last = known[key]
+        if score >= least and (item not in best or score > best[item][1]):
+            best[item] = (item, score, lo + first, lo + last)
+    return [best[item] for item in sorted(best)]
+
+
+def _scan(items: Items):
     def run(batches):
         known: dict = {}
         for batch in small(batches):
-            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known, threshold)]
+            rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in leaks(items, words_of(t), known)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
     return run
 
 
-def _keep(items: Items, threshold: float):
+def _keep(items: Items):
     def run(batches):
         known: dict = {}
         for batch in small(batches):
-            yield batch.filter(pa.array([not leaks(items, words_of(t), known, threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not leaks(items, words_of(t), known) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return run
 
 
-def item_blocks(benchmark: DataFrame):
+def _word_counts(documents: DataFrame) -> dict[str, int]:
+    """How many of SAMPLE_ROWS documents hold each word; the words of one task's rows are counted there."""
+
+    def count(batches):
+        total: Counter = Counter()
+        for batch in small(batches):
+            for t in batch.column("text").to_pylist():
+                total.update(set(words_of(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    sample = documents.select(F.col("text").cast("string").alias("text")).where("text is not null").limit(SAMPLE_ROWS)
+    rows = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(50_000)
+    return {r.word: r.n for r in rows.collect()}
+
+
+def item_blocks(documents: DataFrame, benchmark: DataFrame, threshold: float):
     """The items in blocks of about BLOCK_CHARS characters, one at a time."""
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
+    frequency = _word_counts(documents)
     for b in range(blocks):
-        yield Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()))
+        yield Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), threshold, frequency)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Contaminated pairs: doc_id, item_id, score, first_word, last_word (places among the document's lower-cased \\w+ words).
 
-    Null or empty texts contain nothing; items of fewer than SEED words, without text or item_id are not looked for. Rows that repeat
+    Null or empty texts contain nothing; items of fewer than LEAST_WORDS words, without text or item_id are not looked for. Rows that repeat
     a doc_id are reported each; of rows that repeat an item_id within a block the last text in order counts. With several places of an item in a document, the best (then first) is reported.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
-    for items in item_blocks(benchmark):
-        found = texts.mapInArrow(_scan(items, threshold), "doc_id long, item_id long, score double, first_word long, last_word long")
+    for items in item_blocks(documents, benchmark, threshold):
+        found = texts.mapInArrow(_scan(items), "doc_id long, item_id long, score double, first_word long, last_word long")
         out = found if out is None else out.union(found)
     return out
 
@@ -184,6 +204,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
 def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents in which no item is found. Each row is judged by its own text, whatever its doc_id; nothing is shuffled."""
     docs = documents.withColumn("text", F.col("text").cast("string"))
-    for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(_keep(items, threshold), docs.schema)
+    for items in item_blocks(documents, benchmark, threshold):
+        docs = docs.mapInArrow(_keep(items), docs.schema)
     return docs
