@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from itertools import chain
 from pathlib import PurePath
 
 from pyspark.sql import Column
@@ -12,30 +16,66 @@ from pyspark.sql import functions as F
 from voltaloom import constants as C
 
 DEFAULT_DAY = datetime(2000, 1, 1)
+#: Dates up to this year are taken for something else.
+LAST_ODD_YEAR = 1980
 # What is no part of a date in a folder's name.
 NOT_DATE = [r"[A-Z]+\d+", r"\([0-9]+\)", r"(?:\b\d\s){1,}(\d\b)?", r"\s\d$"]
+#: How many neighbouring tokens may name a day, by mode and in order of trial; 0 stands for the whole text.
+WIDTHS = {"full": (0,), "split": (1,), "window": (2, 3, 4), "all": (0, 1, 2, 3, 4)}
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Aliases and the keys they stand for. In a text the longest alias decides, and of equally long ones the first key in order."""
+
+    rules: tuple[tuple[str, str], ...]
+
+    @classmethod
+    def of(cls, aliases: dict[str, list[str]]) -> Vocabulary:
+        return cls(tuple(sorted(((alias, key) for key, names in aliases.items() for alias in names), key=lambda rule: (-len(rule[0]), rule[1]))))
+
+    def keys_in(self, text: str) -> list[str]:
+        """Distinct keys of the aliases that text holds, the deciding one first."""
+        return list(dict.fromkeys(key for alias, key in self.rules if alias in text))
+
+    def keys_in_col(self, text: Column) -> Column:
+        """The same as an array column."""
+        rules = F.array(*(F.struct(F.lit(alias).alias("alias"), F.lit(key).alias("key")) for alias, key in self.rules))
+        return F.array_distinct(F.transform(F.filter(rules, lambda rule: F.contains(text, rule["alias"])), lambda rule: rule["key"]))
+
+
+def _only(keys: list[str], text: str, strict: bool) -> str:
+    if not keys:
+        raise ValueError(f"{text!r} has no known alias")
+    if strict and len(keys) > 1:
+        raise ValueError(f"{text!r} is ambiguous: {sorted(keys)}")
+    return keys[0]
 
 
 def alias_key(text: str, aliases: dict[str, list[str]], strict: bool = True) -> str:
-    """The key of the longest alias in text; if strict, two keys are an error."""
-    found = {k: max(len(a) for a in names if a in text) for k, names in aliases.items() if any(a in text for a in names)}
-    if not found:
-        raise ValueError(f"{text!r} has no alias of {sorted(aliases)}")
-    if strict and len(found) > 1:
-        raise ValueError(f"{text!r} is ambiguous: {sorted(found)}")
-    return max(found, key=found.get)
+    """The key that text names; if strict, a second key is an error."""
+    return _only(Vocabulary.of(aliases).keys_in(text), text, strict)
 
 
 def channel_abbreviation(name: str, from_number: bool = False, strict: bool = True) -> str:
-    if name in C.CHANNEL_BY_NUMBER.values():
+    """Side and region of a channel's name; abbreviations stand for themselves, and its last number can decide where its words do not."""
+    if name in set(C.CHANNEL_BY_NUMBER.values()):
         return name
-    try:
-        return alias_key(name, C.SIDES, strict) + alias_key(name, C.REGIONS, strict)
-    except ValueError:
-        numbers = re.findall(r"\d+", name)
-        if not from_number or not numbers:
-            raise
-        return C.CHANNEL_BY_NUMBER[int(numbers[-1])]
+    parts = [Vocabulary.of(aliases).keys_in(name) for aliases in (C.SIDES, C.REGIONS)]
+    clear = all(keys and (len(keys) == 1 or not strict) for keys in parts)
+    numbers = re.findall(r"\d+", name) if from_number and not clear else []
+    return C.CHANNEL_BY_NUMBER[int(numbers[-1])] if numbers else "".join(_only(keys, name, strict) for keys in parts)
+
+
+def channel_abbreviation_col(name: Column, from_number: bool = False, strict: bool = True) -> Column:
+    """The same as a column; null where a name is unknown or, if strict, ambiguous."""
+    side, region = (Vocabulary.of(aliases).keys_in_col(name) for aliases in (C.SIDES, C.REGIONS))
+    clear = lambda keys: (F.size(keys) == 1) if strict else (F.size(keys) > 0)
+    known = F.array(*(F.lit(v) for v in C.CHANNEL_BY_NUMBER.values()))
+    by_number = F.create_map(*(F.lit(x) for pair in C.CHANNEL_BY_NUMBER.items() for x in pair))
+    last = F.try_element_at(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), F.lit(-1)).cast("int")
+    out = F.when(F.array_contains(known, name), name).when(clear(side) & clear(region), F.concat(F.get(side, F.lit(0)), F.get(region, F.lit(0))))
+    return out.otherwise(F.try_element_at(by_number, last)) if from_number else out
 
 
 def genotype_of(text: str, aliases: dict[str, list[str]] = C.GENOTYPES, strict: bool = True) -> str:
@@ -46,42 +86,38 @@ def animal_id(text: str, rule: tuple[int, str] | str | list[str]) -> str:
     """By place (index, separator), by regular expression (first match), or the first of a list that occurs."""
     if isinstance(rule, tuple):
         return text.split(rule[1])[rule[0]]
-    if isinstance(rule, str):
-        found = re.search(rule, text)
-        if found:
-            return found.group()
-        raise ValueError(f"{rule!r} matches nothing in {text!r}")
-    for name in rule:
-        if name in text:
-            return name
-    raise ValueError(f"none of {rule} in {text!r}")
+    found = [m.group() for m in [re.search(rule, text)] if m] if isinstance(rule, str) else [name for name in rule if name in text]
+    if not found:
+        raise ValueError(f"{rule!r} finds nothing in {text!r}")
+    return found[0]
 
 
-def day_of(text: str, sep: str | None = None, mode: str = "split", patterns: list[tuple[str, str]] | None = None) -> datetime:
-    """The day that text names: by the given (regex, format) pairs, else tokens, the whole or windows of 2 to 4 tokens; years after 1980 only."""
+def _date_texts(clean: str, sep: str | None, mode: str) -> Iterator[str]:
+    """The parts of a text that may name a day, in order of trial."""
+    tokens = clean.split(sep)
+    for width in WIDTHS[mode]:
+        yield from [clean] if width == 0 else (" ".join(tokens[i : i + width]) for i in range(len(tokens) - width + 1))
+
+
+def _read_day(text: str) -> datetime | None:
     from dateutil import parser
 
-    if mode not in ("full", "split", "window", "all"):
+    try:
+        day = parser.parse(text, default=DEFAULT_DAY, fuzzy=True)
+    except (parser.ParserError, OverflowError):
+        return None
+    return day if day.year > LAST_ODD_YEAR else None
+
+
+def day_of(text: str, sep: str | None = None, mode: str = "split", patterns: list[tuple[str, str]] | None = None) -> datetime:
+    """The day that text names: by the first (regex, format) pair that matches where tokens are tried, else by the first part that reads as a day."""
+    if mode not in WIDTHS:
         raise ValueError(f"unknown mode {mode!r}")
-    clean = text
-    for p in NOT_DATE:
-        clean = re.sub(p, " ", clean)
-    clean = " ".join(clean.split())
-    if mode in ("split", "all"):
-        for pattern, form in patterns or []:
-            if found := re.search(pattern, clean):
-                return datetime.strptime(found.group(), form)
-    tokens = clean.split(sep)
-    tries = [clean] if mode in ("full", "all") else []
-    tries += tokens if mode in ("split", "all") else []
-    tries += [" ".join(tokens[i : i + n]) for n in range(2, min(5, len(tokens) + 1)) for i in range(len(tokens) - n + 1)] if mode in ("window", "all") else []
-    for t in tries:
-        try:
-            day = parser.parse(t, default=DEFAULT_DAY, fuzzy=True)
-        except (parser.ParserError, OverflowError):
-            continue
-        if day.year > 1980:
-            return day
+    clean = " ".join(reduce(lambda left, odd: re.sub(odd, " ", left), NOT_DATE, text).split())
+    stated = ((re.search(pattern, clean), form) for pattern, form in patterns or [] if 1 in WIDTHS[mode])
+    days = chain((datetime.strptime(found.group(), form) for found, form in stated if found), filter(None, map(_read_day, _date_texts(clean, sep, mode))))
+    for day in days:
+        return day
     raise ValueError(f"no date in {text!r}")
 
 
@@ -94,6 +130,11 @@ def session_of(path: str, mode: str = "concat", rule: tuple[int, str] | str | li
     return out | {"animalday": f"{out['animal']} {out['genotype']} {out['day']}"}
 
 
+def animalday(animal: Column, genotype: Column, day: Column) -> Column:
+    """A session's name, as session_of gives it."""
+    return F.concat_ws(" ", animal, genotype, F.date_format(day, "MMM-dd-yyyy"))
+
+
 def file_index(path: str) -> int:
     """The last number of a file's stem, without the markers of recording files."""
     stem = re.sub(r"_(RowMajor|ColMajor|Meta)", "", PurePath(path).name.split(".")[0])
@@ -111,11 +152,7 @@ def file_index_col(path: Column) -> Column:
 
 def alias_col(text: Column, aliases: dict[str, list[str]]) -> Column:
     """Key of the longest alias that text contains; null if none."""
-    pairs = sorted(((a, k) for k, names in aliases.items() for a in names), key=lambda p: (-len(p[0]), p[1]))
-    out = F.lit(None).cast("string")
-    for alias, key in reversed(pairs):
-        out = F.when(text.contains(alias), F.lit(key)).otherwise(out)
-    return out
+    return F.get(Vocabulary.of(aliases).keys_in_col(text), F.lit(0))
 
 
 def unit_scale(unit: Column) -> Column:

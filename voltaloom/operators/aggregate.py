@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaloom.operators import ranks
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Mean over rows with a value, weights renormalised; null if there is none."""
@@ -57,20 +59,19 @@ def auto_bins(df: DataFrame, value: str) -> tuple[float, float, int]:
     """Edges and number of bins by the narrower of the Freedman-Diaconis and Sturges widths."""
     import math
 
-    r = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.percentile(value, F.lit(0.75)).alias("q3"), F.percentile(value, F.lit(0.25)).alias("q1")).first()
-    if not r.n or r.hi == r.lo:
-        return float(r.lo or 0) - 0.5, float(r.hi or 0) + 0.5, 1
+    r = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     sturges = (r.hi - r.lo) / (math.log2(r.n) + 1)
-    width = min(2 * (r.q3 - r.q1) * r.n ** (-1 / 3) or sturges, sturges)
+    q = ranks.quantiles(df, [], value, {"q1": 0.25, "q3": 0.75}).first()
+    width = min(2 * (q.q3 - q.q1) * r.n ** (-1 / 3) or sturges, sturges)
     return float(r.lo), float(r.hi), math.ceil((r.hi - r.lo) / width)
 
 
 def modified_z(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """0.6745 (x - median) / median absolute deviation."""
-    mid = df.groupBy(*keys).agg(F.median(value).alias("_mid"))
-    a = df.join(mid, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_mid")))
-    mad = a.groupBy(*keys).agg(F.median("_dev").alias("_mad"))
-    return a.join(mad, keys).withColumn("modified_z", F.try_divide(0.6745 * (F.col(value) - F.col("_mid")), F.col("_mad"))).drop("_mid", "_dev", "_mad")
+    mid = ranks.quantiles(df, keys, value, {"_mid": 0.5})
+    a = df.join(mid, keys, "left").withColumn("_dev", F.abs(F.col(value) - F.col("_mid")))
+    mad = ranks.quantiles(a, keys, "_dev", {"_mad": 0.5})
+    return a.join(mad, keys, "left").withColumn("modified_z", F.try_divide(0.6745 * (F.col(value) - F.col("_mid")), F.col("_mad"))).drop("_mid", "_dev", "_mad")
 
 
 def effect_size(df: DataFrame, value: str, group: str, a: object, b: object, keys: list[str]) -> DataFrame:

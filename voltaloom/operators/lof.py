@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltaloom.functions import kernels
+from voltaloom.operators import neighbours
+from voltaloom.staging import written
 
 
-def distances(traces: DataFrame, decimation: int = 10, block: int = 100_000) -> DataFrame:
+def distances(traces: DataFrame, decimation: int = 10, block: int = 100_000, half_precision: bool = False) -> DataFrame:
     """animalday, a, b, d: distance of each pair (and of each channel with itself, 0) of a session's channels (animalday, channel, signal array), from sums of squares over blocks of samples.
 
     Signals are cut into blocks first, so a task holds one block of a session's channels, never whole signals of all of them. The channels
-    of a session are decimated alike, block by block: beyond block * decimation samples the filter starts anew.
+    of a session are decimated alike, block by block: beyond block * decimation samples the filter starts anew. half_precision rounds samples to 16 bits first, which
+    makes those beyond 65,504 infinite. Channels of a session that differ in length are an error.
     """
     step = block * max(1, decimation)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("signal") / step).cast("int") - 1)), lambda k: F.struct(k.alias("k"), F.slice("signal", k * step + 1, step).alias("x")))
@@ -21,16 +24,21 @@ def distances(traces: DataFrame, decimation: int = 10, block: int = 100_000) ->
 
     def run(pdf):
         names = pdf.channel.to_numpy()
-        x = np.stack(pdf.x.to_numpy()).astype(np.float16).astype(float)
+        lengths = pdf.x.map(len)
+        if lengths.nunique() > 1:
+            raise ValueError(f"channels of {pdf.animalday.iloc[0]} differ in length: {dict(zip(names, lengths, strict=True))} samples of a block")
+        x = np.stack(pdf.x.to_numpy()).astype(float)
+        x = x.astype(np.float16).astype(float) if half_precision else x
         x = kernels.decimate(x, decimation) if decimation > 1 and x.shape[1] > 100 else x
-        rows = [(a, b, float(((x[i] - x[j]) ** 2).sum())) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-        return type(pdf)({"animalday": [pdf.animalday.iloc[0]] * len(rows), "a": [r[0] for r in rows], "b": [r[1] for r in rows], "ss": [r[2] for r in rows]})
+        i, j = np.triu_indices(len(names))
+        ss = np.concatenate([((x[a] - x[a:]) ** 2).sum(1) for a in range(len(names))])
+        return type(pdf)({"animalday": pdf.animalday.iloc[0], "a": names[i], "b": names[j], "ss": ss})
 
     sums = blocks.groupBy("animalday", "k").applyInPandas(run, "animalday string, a string, b string, ss double")
     return sums.groupBy("animalday", "a", "b").agg(F.sqrt(F.sum("ss")).alias("d"))
 
 
-def channel_scores(traces: DataFrame, decimation: int = 10, block: int = 100_000) -> DataFrame:
+def channel_scores(traces: DataFrame, decimation: int = 10, block: int = 100_000, half_precision: bool = False) -> DataFrame:
     """lof of each channel (animalday, channel, signal array) among its session's; k by natural neighbours. A session has tens of channels."""
 
     def run(pdf):
@@ -42,15 +50,12 @@ def channel_scores(traces: DataFrame, decimation: int = 10, block: int = 100_000
         k = kernels.natural_neighbours(d)
         return type(pdf)({"animalday": [pdf.animalday.iloc[0]] * len(names), "channel": names, "lof": kernels.local_outlier_factor(d, k), "k": k})
 
-    return distances(traces, decimation, block).groupBy("animalday").applyInPandas(run, "animalday string, channel string, lof double, k long")
+    return distances(traces, decimation, block, half_precision).groupBy("animalday").applyInPandas(run, "animalday string, channel string, lof double, k long")
 
 
 def scores_sql(vectors: DataFrame, group: str, item: str, vector: str, k: int) -> DataFrame:
-    """lof of vectors within groups for a fixed k, in joins; ties of distance go to the smaller item. Groups are small (channels of a session)."""
-    a, b = vectors.select(group, F.col(item).alias("a"), F.col(vector).alias("va")), vectors.select(group, F.col(item).alias("b"), F.col(vector).alias("vb"))
-    dist = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, group).where("a <> b").select(group, "a", "b", dist.alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy(group, "a").orderBy("d", "b"))).where(F.col("r") <= k)
+    """lof of vectors within groups for a fixed k; ties of distance go to the smaller item. Groups can be of any size."""
+    near = written(neighbours.nearest(vectors, group, item, vector, k), "near").select(group, F.col(item).alias("a"), F.col("neighbour").alias("b"), "d")
     kd = near.groupBy(group, F.col("a").alias("b")).agg(F.max("d").alias("kd"))
     lrd = near.join(kd, [group, "b"]).groupBy(group, "a").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     around = near.join(lrd.select(group, F.col("a").alias("b"), F.col("lrd").alias("lrd_b")), [group, "b"]).groupBy(group, "a").agg(F.avg("lrd_b").alias("m"))
@@ -58,12 +63,12 @@ def scores_sql(vectors: DataFrame, group: str, item: str, vector: str, k: int) -
 
 
 def bad(score: Column, threshold: float) -> Column:
-    """Bad unless below the threshold: equal and missing scores are bad."""
-    return ~F.coalesce(score < threshold, F.lit(False))
+    """Bad unless below the threshold: equal, missing and non-finite scores are bad."""
+    return ~F.coalesce((score < threshold) & ~F.isnan(score), F.lit(False))
 
 
 def evaluate(scores: DataFrame, truth: DataFrame | None, threshold: float, abbreviations: dict[str, str] | None = None, bad: DataFrame | None = None) -> DataFrame:
-    """animalday, channel, lof, predicted (lof > threshold) and truth of each scored channel.
+    """animalday, channel, lof, predicted (lof > threshold, or no finite score) and truth of each scored channel.
 
     truth lists bad channels (animalday, channel), by name or abbreviation; where it is not given, `bad` does. A listed session that has no scores is an error.
     """
@@ -73,7 +78,7 @@ def evaluate(scores: DataFrame, truth: DataFrame | None, threshold: float, abbre
     short = F.col("channel") if not abbreviations else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in sorted(abbreviations.items()) for x in p)), F.col("channel")), F.col("channel"))
     marked = checked.select("animalday", short.alias("_name")).distinct().withColumn("_bad", F.lit(True))
     named = scores.select("animalday", "channel", "lof", short.alias("_name")).join(marked, ["animalday", "_name"], "left")
-    return named.select("animalday", "channel", "lof", F.coalesce(F.col("lof") > threshold, F.lit(False)).alias("predicted"), F.col("_bad").isNotNull().alias("truth"))
+    return named.select("animalday", "channel", "lof", F.coalesce((F.col("lof") > threshold) | F.isnan("lof"), F.lit(True)).alias("predicted"), F.col("_bad").isNotNull().alias("truth"))
 
 
 def mean_scores(scores: DataFrame, animal: str, channel: str = "channel", lof: str = "lof") -> DataFrame:

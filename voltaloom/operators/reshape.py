@@ -70,4 +70,4 @@ def timeseries(long: DataFrame, feature: str, groupby: list[str], channels: list
 
 def sex_and_gene(genotype: Column) -> tuple[Column, Column]:
     sex = F.when(F.substring(genotype, 1, 1) == "M", "Male").when(F.substring(genotype, 1, 1) == "F", "Female")
-    return sex, F.expr("substring(genotype, 2)")
+    return sex, F.substr(genotype, F.lit(2))

@@ -55,13 +55,6 @@ def detect(signals: DataFrame, fs: float, **options) -> DataFrame:
     return signals.select("animalday", "channel", "signal").mapInPandas(run, "animalday string, channel string, sample_idx long, t_s double")
 
 
-def averages(spikes: DataFrame, samples: DataFrame, half: int) -> DataFrame:
-    """Mean sample at each lag around the spikes of a channel; samples (animalday, channel, sample_idx, value)."""
-    near = spikes.select("animalday", "channel", F.col("sample_idx").alias("at")).withColumn("lag", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    near = near.withColumn("sample_idx", F.col("at") + F.col("lag"))
-    return near.join(samples, ["animalday", "channel", "sample_idx"]).groupBy("animalday", "channel", "lag").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-
-
 def annotations(spikes: DataFrame, fs: float, channels: list[str]) -> DataFrame:
     """onset in seconds, counted from sample 1, and description of each spike: Spike_Ch and the channel's place in channels."""
     at = F.array_position(F.array(*(F.lit(c) for c in channels)), F.col("channel")) - 1

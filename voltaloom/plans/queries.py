@@ -19,6 +19,7 @@ from voltaloom.deploy import ship
 from voltaloom.functions import kernels as K
 from voltaloom.functions import names as N
 from voltaloom.operators import aggregate as A
+from voltaloom.operators import channels as CH
 from voltaloom.operators import features as FE
 from voltaloom.operators import lof as L
 from voltaloom.operators import masks as M
@@ -174,16 +175,23 @@ def _files(spark, d):
     return W.running(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_quantity", "cum").select("l_orderkey", "l_linenumber", "cum", F.col("l_shipdate").alias("end_ts"))
 
 
-@query(f"WITH {FILES}, frag AS (SELECT DISTINCT l_orderkey, unnest([0.0, 10.0, 40.0, 90.0]) AS t FROM lineitem), h AS (SELECT frag.l_orderkey, t, coalesce(min(cum) FILTER (cum >= t), max(cum)) AS cum FROM frag JOIN files ON frag.l_orderkey = files.l_orderkey GROUP BY ALL) SELECT h.l_orderkey, CAST(t AS DOUBLE) AS t, min(end_ts) + to_seconds(CAST(t - h.cum AS BIGINT)) AS timestamp FROM h JOIN files f ON h.l_orderkey = f.l_orderkey AND h.cum = f.cum GROUP BY h.l_orderkey, t, h.cum")
+def _every(spark, d, step):
+    """at: each multiple of step within an order's own length."""
+    total = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("total"))
+    each = total.select("l_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total"), F.lit(step).cast("long"))).alias("at"))
+    return each.withColumn("at", F.col("at").cast("double"))
+
+
+@query(f"WITH {FILES}, frag AS (SELECT l_orderkey, unnest(range(0, CAST(sum(l_quantity) AS BIGINT) + 1, 10)) AS t FROM lineitem GROUP BY l_orderkey), h AS (SELECT frag.l_orderkey, t, coalesce(min(cum) FILTER (cum >= t), max(cum)) AS cum FROM frag JOIN files ON frag.l_orderkey = files.l_orderkey GROUP BY ALL) SELECT h.l_orderkey, CAST(t AS DOUBLE) AS t, min(end_ts) + to_seconds(CAST(t - h.cum AS BIGINT)) AS timestamp FROM h JOIN files f ON h.l_orderkey = f.l_orderkey AND h.cum = f.cum GROUP BY h.l_orderkey, t, h.cum")
 def q16_asof_timestamp(spark, d):
     f = _files(spark, d)
-    frag = table(spark, d, "lineitem").select("l_orderkey").distinct().withColumn("t", F.explode(F.array(*(F.lit(x) for x in (0.0, 10.0, 40.0, 90.0)))))
+    frag = _every(spark, d, 10).select("l_orderkey", F.col("at").alias("t"))
     return W.asof_timestamps(frag, f.select("l_orderkey", "cum", "end_ts"), "l_orderkey").select("l_orderkey", "t", "timestamp")
 
 
-@query(f"WITH {FILES}, w AS (SELECT DISTINCT l_orderkey, unnest([0.0, 25.0, 50.0]) AS start FROM lineitem) SELECT w.l_orderkey, CAST(start AS DOUBLE) AS start, CAST(min(cum) FILTER (cum >= start AND cum < start + 25) - start AS DOUBLE) AS endfile FROM w JOIN files ON w.l_orderkey = files.l_orderkey GROUP BY w.l_orderkey, start")
+@query(f"WITH {FILES}, w AS (SELECT l_orderkey, unnest(range(0, CAST(sum(l_quantity) AS BIGINT) + 1, 25)) AS start FROM lineitem GROUP BY l_orderkey) SELECT w.l_orderkey, CAST(start AS DOUBLE) AS start, CAST(min(cum) FILTER (cum >= start AND cum < start + 25) - start AS DOUBLE) AS endfile FROM w JOIN files ON w.l_orderkey = files.l_orderkey GROUP BY w.l_orderkey, start")
 def q17_endfile(spark, d):
-    w = table(spark, d, "lineitem").select("l_orderkey").distinct().withColumn("start", F.explode(F.array(*(F.lit(x) for x in (0.0, 25.0, 50.0))))).withColumn("stop", F.col("start") + 25)
+    w = _every(spark, d, 25).select("l_orderkey", F.col("at").alias("start")).withColumn("stop", F.col("start") + 25)
     return W.end_in_window(w, _files(spark, d), "l_orderkey").select("l_orderkey", "start", "endfile")
 
 
@@ -203,10 +211,8 @@ def q19_gap_check(spark, d):
 
 @query("WITH t AS (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w > 43200 THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)), c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM n) SELECT user_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, arg_min(event_id, struct_pack(v := value, i := event_id)) AS best FROM c GROUP BY user_id, cluster")
 def q20_spike_clusters(spark, d):
-    e = table(spark, d, "events").withColumn("t", F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id"))
-    w = Window.partitionBy("user_id").orderBy("t")
-    new = F.coalesce((F.col("t.t") - F.lag("t").over(w)["t"] > 43200).cast("int"), F.lit(0))
-    c = e.withColumn("new", new).withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    c = S.clusters(e, ["user_id"], "t", 43200)
     return c.groupBy("user_id", "cluster").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("value", "event_id")).alias("best"))
 
 
@@ -243,30 +249,30 @@ def q24_session_order(spark, d):
 
 
 EMB = "x AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
-CORR = f"WITH {EMB}, p AS (SELECT a.label, a.vec_id AS c1, b.vec_id AS c2, corr(a.v, b.v) AS r FROM x a JOIN x b ON a.label = b.label AND a.i = b.i AND b.vec_id < a.vec_id WHERE a.vec_id < 100 GROUP BY ALL)"
+#: Numbers of vectors that a session spans; about a tenth of them have its label, as many as a recording has channels.
+SESSION_SPAN = 320
+CORR = f"WITH x AS (SELECT vec_id, label, vec_id // {SESSION_SPAN} AS block, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), p AS (SELECT a.label, a.block, a.vec_id AS c1, b.vec_id AS c2, corr(a.v, b.v) AS r FROM x a JOIN x b ON a.label = b.label AND a.block = b.block AND a.i = b.i AND b.vec_id < a.vec_id GROUP BY ALL)"
 
 
 def _pairs(spark, d):
-    """Correlations of the vectors numbered below 100, in sessions (a recording has tens of channels)."""
-    x = table(spark, d, "embeddings").where("vec_id < 100").select("label", "vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    a, b = x.withColumnRenamed("vec_id", "c1").withColumnRenamed("v", "va"), x.withColumnRenamed("vec_id", "c2").withColumnRenamed("v", "vb")
-    return a.join(b, ["label", "i"]).where("c2 < c1").groupBy("label", "c1", "c2").agg(F.corr("va", "vb").alias("r"))
+    """Correlations of all pairs of a session's vectors; a session is a label's vectors within SESSION_SPAN numbers, so pairs grow with the rows."""
+    x = table(spark, d, "embeddings").withColumn("block", F.expr(f"vec_id div {SESSION_SPAN}"))
+    return CH.pair_correlations(x, ["label", "block"], "vec_id", "embedding", "c1", "c2")
 
 
 @query(f"{CORR} SELECT label, c1, c2, round(r, 6) AS r FROM p")
 def q25_pcorr_pairs(spark, d):
-    return _pairs(spark, d).withColumn("r", r6("r"))
+    return _pairs(spark, d).select("label", "c1", "c2", r6("r").alias("r"))
 
 
 @query(f"{CORR} SELECT label, c1, c2, round(atanh(greatest(least(r, 1 - 1e-6), -1 + 1e-6)), 6) AS z FROM p")
 def q26_zpcorr(spark, d):
-    z = F.atanh(F.greatest(F.least(F.col("r"), F.lit(1 - 1e-6)), F.lit(-1 + 1e-6)))
-    return _pairs(spark, d).select("label", "c1", "c2", r6(z).alias("z"))
+    return _pairs(spark, d).select("label", "c1", "c2", r6(CH.fisher_z(F.col("r"))).alias("z"))
 
 
-@query(f"{CORR} SELECT label, round(avg(r), 6) AS r FROM p GROUP BY label")
+@query(f"{CORR} SELECT label, block, round(avg(r), 6) AS r FROM p GROUP BY ALL")
 def q27_matrix_collapse(spark, d):
-    return A.collapse_matrix(_pairs(spark, d), ["label"], "r", "c1", "c2").withColumn("r", r6("r"))
+    return A.collapse_matrix(_pairs(spark, d), ["label", "block"], "r", "c1", "c2").withColumn("r", r6("r"))
 
 
 def _all_pairs(spark, d):
@@ -377,9 +383,9 @@ def q35_lof_scores(spark, d):
     return _lof(spark, d).withColumn("lof", r6("lof"))
 
 
-@query(f"WITH {_LOF} SELECT label, vec_id FROM lof WHERE NOT coalesce(lof < 1.05, false)")
+@query(f"WITH {_LOF} SELECT label, vec_id FROM lof WHERE NOT coalesce(lof < 1.01, false)")
 def q36_lof_threshold(spark, d):
-    return _lof(spark, d).where(L.bad(F.col("lof"), 1.05)).select("label", "vec_id")
+    return _lof(spark, d).where(L.bad(F.col("lof"), 1.01)).select("label", "vec_id")
 
 
 _SWEEP = "t(threshold) AS (SELECT unnest([0.0, 50.0, 100.0, 150.0, 200.0])), y AS (SELECT value AS s, CAST(event_type = 'purchase' AS INT) AS y FROM events), c AS (SELECT threshold, sum(CASE WHEN s > threshold AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN s > threshold AND y <> 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN NOT s > threshold AND y = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN NOT s > threshold AND y <> 1 THEN 1 ELSE 0 END) AS tn FROM y, t GROUP BY threshold), f AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c), g AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM f)"
@@ -491,8 +497,8 @@ def q51_normaltest(spark, d):
 def q53_ks_uniform(spark, d):
     from voltaloom.functions.stats import ks_statistic
 
-    e = table(spark, d, "events").withColumn("u", F.least(F.col("value") / 500.0, F.lit(1.0)))
-    return ks_statistic(e, "u", ["event_type"], ["value", "event_id"]).withColumn("ks", r6("ks"))
+    uniform = lambda v: F.least(v / 500.0, F.lit(1.0))
+    return ks_statistic(table(spark, d, "events"), "value", uniform, ["event_type"]).withColumn("ks", r6("ks"))
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN contains(n_name, 'UNITED') THEN 'united' WHEN contains(n_name, 'AN') THEN 'an' WHEN contains(n_name, 'A') THEN 'a' END AS k FROM nation")
@@ -504,7 +510,7 @@ def q54_alias(spark, d):
 @query("SELECT DISTINCT user_id, CAST(user_id AS VARCHAR) || ' ' || CASE WHEN user_id % 2 = 0 THEN 'WT' ELSE 'KO' END || ' ' || strftime(ts, '%b-%d-%Y') AS animalday FROM events")
 def q55_animalday(spark, d):
     genotype = F.when(F.col("user_id") % 2 == 0, "WT").otherwise("KO")
-    return table(spark, d, "events").select("user_id", F.concat_ws(" ", F.col("user_id").cast("string"), genotype, F.date_format("ts", "MMM-dd-yyyy")).alias("animalday")).distinct()
+    return table(spark, d, "events").select("user_id", N.animalday(F.col("user_id").cast("string"), genotype, F.col("ts")).alias("animalday")).distinct()
 
 
 @query(r"SELECT p_partkey, CAST(list_last(regexp_extract_all(p_brand, '(\d+)')) AS INT) AS idx FROM part")

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from voltaloom.functions import stats as ST
 from voltaloom.operators import lof as L
+from voltaloom.operators import aggregate as A
+from voltaloom.operators import blocked_spikes as BS
 from voltaloom.operators import masks as M
+from voltaloom.operators import ranks as RK
 from voltaloom.operators import sessions as SE
 from voltaloom.operators import spikes as S
 from voltaloom.operators import windows as W
@@ -235,6 +238,37 @@ def q97_qq_points(spark, d):
     return ST.qq_points(table(spark, d, "events"), "value", ["user_id"], ["event_id"]).select("user_id", "event_id", r6("position").alias("position"))
 
 
+_POLY = lambda ks: "(" * (len(ks) - 1) + repr(ks[0]) + "".join(f" * a + {k!r})" for k in ks[1:])
+_PHI = f"exp(-a * a / 2) * CASE WHEN a < 7.07106781186547 THEN {_POLY([3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376])} / {_POLY([8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752])} ELSE 1 / ((a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65::DOUBLE))))) * 2.506628274631) END"
+
+
+@query(f"WITH z AS (SELECT event_type, event_id, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM events WINDOW w AS (PARTITION BY event_type)), r AS (SELECT event_type, z, abs(z) AS a, count(*) OVER (PARTITION BY event_type)::DOUBLE AS n, row_number() OVER (PARTITION BY event_type ORDER BY z, event_id) AS i FROM z), u AS (SELECT *, CASE WHEN z > 0 THEN 1 - {_PHI} ELSE {_PHI} END AS u FROM r) SELECT event_type, round(max(greatest(i / n - u, u - (i - 1) / n)), 6) AS ks FROM u GROUP BY event_type")
+def q102_ks_normal(spark, d):
+    e = table(spark, d, "events")
+    m = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    z = e.join(m, "event_type").select("event_type", ((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
+    return ST.ks_statistic(z, "z", ST.normal_cdf, ["event_type"]).withColumn("ks", r6("ks"))
+
+
+@query("SELECT l_returnflag, l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_partkey, l_extendedprice, l_linenumber) AS place, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem")
+def q103_row_numbers(spark, d):
+    order = ["l_shipdate", "l_orderkey", "l_partkey", "l_extendedprice", "l_linenumber"]
+    rows = table(spark, d, "lineitem").select("l_returnflag", *order)
+    return RK.row_numbers(rows, ["l_returnflag"], order, "place", "n").drop("l_shipdate", "l_linenumber")
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY ALL")
+def q104_exact_quantiles(spark, d):
+    q = RK.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"q1": 0.25, "median": 0.5, "p99": 0.99})
+    return q.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("q1", "median", "p99")))
+
+
+@query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events), w AS (SELECT *, (hi - lo) / (log2(n) + 1) AS s FROM e), b AS (SELECT *, CAST(ceil((hi - lo) / least(2 * iqr * pow(n, -1.0 / 3), s)) AS BIGINT) AS bins FROM w), c AS (SELECT least(CAST(floor((value - lo) / ((hi - lo) / bins)) AS BIGINT), bins - 1) AS bin, lo, hi, bins FROM events, b) SELECT bin, round(count(*) / (sum(count(*)) OVER () * any_value((hi - lo) / bins)), 6) AS density FROM c GROUP BY bin")
+def q105_auto_histogram(spark, d):
+    e = table(spark, d, "events").withColumn("w", F.lit(1.0))
+    return A.weighted_histogram(e, "value", "w", *A.auto_bins(e, "value")).withColumn("density", r6("density"))
+
+
 def _spikes(spark, d):
     return table(spark, d, "events").where("value > 150").select(F.col("user_id").alias("animalday"), F.col("event_type").alias("channel"), F.col("event_id").alias("sample_idx"))
 
@@ -258,3 +292,17 @@ def q100_constant_columns(spark, d):
 @query("SELECT l_orderkey, min(l_shipdate) AS first_ts, max(l_shipdate) AS last_ts, CAST(sum(l_quantity) AS DOUBLE) AS seconds, count(*) AS n_files FROM lineitem GROUP BY l_orderkey")
 def q101_timeline(spark, d):
     return W.timeline(table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_orderkey", "l_shipdate", "l_shipdate", "q")
+
+
+def spike_pieces(spark, d):
+    """Prices of a line number in order of their orders as a channel of one long recording, in pieces of 1000 samples."""
+    rows = table(spark, d, "lineitem").select(F.lit("prices").alias("animalday"), F.col("l_linenumber").cast("string").alias("channel"), "l_orderkey", "l_partkey", "l_extendedprice")
+    at = RK.row_numbers(rows, ["animalday", "channel"], ["l_orderkey", "l_partkey", "l_extendedprice"], "at").withColumn("at", F.col("at") - 1)
+    start = F.floor(F.col("at") / 1000) * 1000
+    pieces = at.groupBy("animalday", "channel", start.alias("start")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("l_extendedprice").cast("double").alias("v")))).alias("s"))
+    return pieces.select("animalday", "channel", "start", F.transform("s", lambda x: x["v"]).alias("signal"))
+
+
+@query()
+def q106_spikes_by_blocks(spark, d):
+    return BS.detect(spike_pieces(spark, d), 512.0, step=16_384, percentile=99.0, vote=1)
