@@ -4,8 +4,8 @@ Test items are the query set: they are collected in blocks of at most BLOCK_CHAR
 all documents are run against each block. An alignment that reaches the threshold matches at least that share of an item's words and spans
 a bounded number of words. Of any chosen words of an item, then, all but the unmatched ones stand near each other in the document: an item's seed is `need` of its
 `rare` words, in any order and with any gaps, within that span. Whatever was replaced, inserted, cut or swapped, a seed is left, so no alignment is missed. Which
-words are taken as rare, by their counts in a sample of SAMPLE_ROWS documents, decides the cost only. Around a seed the words that the item shares are counted,
-each as often as both hold it; where they are too few for the threshold nothing is aligned. Elsewhere the item is aligned with the words around.
+words are taken as rare, those of the fewest items, decides the cost only. Around a seed two bounds of the score are taken: words inside an alignment match the item or
+cost a point, and no word matches more often than both hold it. Where a bound stays below the threshold nothing is aligned; elsewhere the item is aligned with the words around.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from voltaloom.llm.common import small
 
 #: Words that an item has at least; words below which it must stand whole; characters of a block of items.
 LEAST_WORDS, SHORT, BLOCK_CHARS = 4, 8, 8_000_000
-#: Rows whose words tell which words are rare, and the part of an item's words that a seed has beyond what must match anyway.
-SAMPLE_ROWS, SPARE = 2000, 0.2
+#: Words of a seed, as a share of an item's words.
+SPARE = 0.2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best possible score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -62,17 +62,17 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
 class Items:
     """One block of items: their words' numbers, and for each rare word the items that it seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD, frequency: dict[str, int] | None = None):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.words, self.vocabulary = {}, {}
         for item, text in rows:
             w = words_of(text)
             if len(w) >= LEAST_WORDS:
                 self.words[item] = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.uint64)
         self.counts = {item: Counter(h.tolist()) for item, h in self.words.items()}
+        self.distinct = {item: np.unique(h) for item, h in self.words.items()}
         self.ids = np.array(sorted(self.words), np.int64)
         self.threshold, self.need, self.span = {}, np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
         inside = Counter(x for c in self.counts.values() for x in c)
-        often = {n: (1 + (frequency or {}).get(x, 0)) * inside[n] for x, n in self.vocabulary.items()}
         seeds: list[tuple[int, int]] = []
         for k, item in enumerate(self.ids.tolist()):
             w = self.words[item].tolist()
@@ -80,7 +80,7 @@ class Items:
             matched = max(1, int(np.ceil(least * len(w) - 1e-9)))  # words that an alignment at the threshold matches at least
             self.need[k] = min(matched, max(1, int(SPARE * len(w))))
             self.span[k] = len(w) + int((MATCH * (1 - least) * len(w)) // -GAP)  # and the words that it spans at most
-            rare = sorted(w, key=lambda x: (often[x], x))[: len(w) - matched + int(self.need[k])]
+            rare = sorted(w, key=lambda x: (inside[x], x))[: len(w) - matched + int(self.need[k])]
             seeds += [(x, k) for x in set(rare)]
         seeds.sort()
         self.seeded = np.array([k for _, k in seeds], np.int64)
@@ -121,6 +121,13 @@ def shared(counts: Counter, window: list[int]) -> int:
     return sum(min(n, counts[w]) for w, n in Counter(filter(counts.__contains__, window)).items())
 
 
+def most_score(known: np.ndarray, h: np.ndarray) -> int:
+    """A bound of the alignment score of h with an item of the sorted words `known`: each word inside an alignment matches or costs at least one point."""
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    run = np.cumsum(np.where(known[at] == h, MATCH, max(MISMATCH, GAP)))
+    return int((run - np.minimum.accumulate(np.concatenate([[0], run[:-1]]))).max())
+
+
 def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of each item whose best alignment with words reaches its threshold; items of fewer than SHORT words must stand whole."""
     h = items.numbers(words)
@@ -130,7 +137,7 @@ def leaks(items: Items, words: list[str], known: dict) -> list[tuple[int, float,
     best, listed = {}, h.tolist()
     for item, lo, hi in found:
         w, counts, least = items.words[item], items.counts[item], items.threshold[item]
-        if shared(counts, listed[lo:hi]) < least * len(w) - 1e-9:
+        if most_score(items.distinct[item], h[lo:hi]) < MATCH * least * len(w) - 1e-9 or shared(counts, listed[lo:hi]) < least * len(w) - 1e-9:
             continue
         key = (item, h[lo:hi].tobytes())
         if key not in known:
@@ -163,28 +170,12 @@ def _keep(items: Items):
     return run
 
 
-def _word_counts(documents: DataFrame) -> dict[str, int]:
-    """How many of SAMPLE_ROWS documents hold each word; the words of one task's rows are counted there."""
-
-    def count(batches):
-        total: Counter = Counter()
-        for batch in small(batches):
-            for t in batch.column("text").to_pylist():
-                total.update(set(words_of(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-    sample = documents.select(F.col("text").cast("string").alias("text")).where("text is not null").limit(SAMPLE_ROWS)
-    rows = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(50_000)
-    return {r.word: r.n for r in rows.collect()}
-
-
-def item_blocks(documents: DataFrame, benchmark: DataFrame, threshold: float):
+def item_blocks(benchmark: DataFrame, threshold: float):
     """The items in blocks of about BLOCK_CHARS characters, one at a time."""
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
-    frequency = _word_counts(documents)
     for b in range(blocks):
-        yield Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), threshold, frequency)
+        yield Items(sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), threshold)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,7 +186,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
-    for items in item_blocks(documents, benchmark, threshold):
+    for items in item_blocks(benchmark, threshold):
         found = texts.mapInArrow(_scan(items), "doc_id long, item_id long, score double, first_word long, last_word long")
         out = found if out is None else out.union(found)
     return out
@@ -204,6 +195,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
 def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents in which no item is found. Each row is judged by its own text, whatever its doc_id; nothing is shuffled."""
     docs = documents.withColumn("text", F.col("text").cast("string"))
-    for items in item_blocks(documents, benchmark, threshold):
+    for items in item_blocks(benchmark, threshold):
         docs = docs.mapInArrow(_keep(items), docs.schema)
     return docs
