@@ -155,6 +155,14 @@ def alias_col(text: Column, aliases: dict[str, list[str]]) -> Column:
     return F.get(Vocabulary.of(aliases).keys_in_col(text), F.lit(0))
 
 
+def one_unit(units: Column) -> Column:
+    """The unit of an array of units; an empty one, several and unknown ones are an error that names them."""
+    distinct = F.array_distinct(units)
+    told = F.concat(F.lit("no one known unit: "), F.array_join(F.coalesce(distinct, F.array().cast("array<string>")), ", ", "null"))
+    fits = (F.size(distinct) == 1) & F.array_contains(F.array(*(F.lit(u) for u in C.UNITS)), F.get(distinct, F.lit(0)))
+    return F.when(F.coalesce(fits, F.lit(False)), F.get(distinct, F.lit(0))).otherwise(F.raise_error(told))
+
+
 def unit_scale(unit: Column) -> Column:
     """Microvolts of a unit; null for unknown units."""
     out = F.lit(None).cast("double")

@@ -25,12 +25,14 @@ def requested(features: str | list[str] = "all", exclude: list[str] = ()) -> lis
     return names
 
 
-def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welch_s: float = 1.0, multitaper: bool = False, full: int | None = None) -> dict[str, np.ndarray]:
+def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welch_s: float = 1.0, multitaper: bool = False, full: int | None = None, coherency: str = "multitaper") -> dict[str, np.ndarray]:
     """Features of windows (B, C, N) of one length, each prerequisite computed once.
 
     multitaper: densities by tapers in place of Welch's segments. full: samples of a whole window; densities of windows of another length are brought to its
-    frequencies by Akima's spline, and are NaN where fewer than three frequencies are there.
+    frequencies by Akima's spline, and are NaN where fewer than three frequencies are there. coherency: by tapers or by morlet wavelets.
     """
+    if coherency not in ("multitaper", "morlet"):
+        raise ValueError(f"unknown coherency {coherency!r}")
     done: dict[str, object] = {}
 
     def get(f: str):
@@ -64,7 +66,7 @@ def compute(x: np.ndarray, fs: float, names: list[str], notch: bool = True, welc
             "psdtotal": lambda: K.trapezoid_band(*get("psd"), *C.TOTAL_BAND),
             "psdfrac": lambda: (lambda p: {b: np.divide(v, s, out=np.full_like(v, np.nan), where=s > 0) for s in [sum(p.values())] for b, v in p.items()})(get("psdband")),
             "psdslope": lambda: K.log_slope(*get("psd"), *C.TOTAL_BAND)[0],
-            "coherency": lambda: K.coherency(x, fs),
+            "coherency": lambda: (K.coherency if coherency == "multitaper" else K.wavelet_coherency)(x, fs),
             "pcorr": lambda: K.correlation(K.band_filter(x, fs, *C.TOTAL_BAND)),
             "zpcorr": lambda: K.fisher_z(get("pcorr")),
             "nspike": lambda: np.full(x.shape[:-1], np.nan),

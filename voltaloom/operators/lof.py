@@ -81,6 +81,21 @@ def evaluate(scores: DataFrame, truth: DataFrame | None, threshold: float, abbre
     return named.select("animalday", "channel", "lof", F.coalesce((F.col("lof") > threshold) | F.isnan("lof"), F.lit(True)).alias("predicted"), F.col("_bad").isNotNull().alias("truth"))
 
 
+def score_lists(scores: DataFrame) -> DataFrame:
+    """animalday, channels, lofs: a session's scores in order of its channels' names, tens of them; a missing score is null in the list."""
+    each = F.array_sort(F.collect_list(F.struct("channel", "lof")))
+    return scores.groupBy("animalday").agg(each.alias("_e")).select("animalday", F.transform("_e", lambda x: x["channel"]).alias("channels"), F.transform("_e", lambda x: x["lof"]).alias("lofs"))
+
+
+def compare_manual(manual: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
+    """animalday, channel, manual, scored, kind (both, manual, scored, neither): bad channels marked by hand against those whose score is bad; a marked channel without score counts by hand only."""
+    by_hand = manual.select("animalday", "channel").distinct().withColumn("_m", F.lit(True))
+    both = scores.select("animalday", "channel", bad(F.col("lof"), threshold).alias("scored")).join(by_hand, ["animalday", "channel"], "full")
+    m, s = F.coalesce("_m", F.lit(False)), F.coalesce("scored", F.lit(False))
+    kind = F.when(m & s, "both").when(m, "manual").when(s, "scored").otherwise("neither")
+    return both.select("animalday", "channel", m.alias("manual"), s.alias("scored"), kind.alias("kind"))
+
+
 def mean_scores(scores: DataFrame, animal: str, channel: str = "channel", lof: str = "lof") -> DataFrame:
     """Mean score and days of each animal's channel."""
     return scores.groupBy(animal, channel).agg(F.avg(lof).alias("mean_lof"), F.count(lof).alias("days"))

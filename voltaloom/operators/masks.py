@@ -128,6 +128,15 @@ def filter_all(df: DataFrame, bad_channels: list[str] = (), bad: DataFrame | Non
     return out if bad is None else reject_by_session(out, bad, "_session").withColumn("keep", F.col("keep") & F.col("_session")).drop("_session")
 
 
+def filter_by(df: DataFrame, name: str, values: list[str] = (), **options) -> DataFrame:
+    """df after one filter of apply_filters, or after the bad channels of sessions (name reject_by_session, bad=...): values are null where it does not keep, keep is gone."""
+    if name == "reject_by_session":
+        kept = reject_by_session(df, options["bad"], "keep", **{k: v for k, v in options.items() if k != "bad"})
+    else:
+        kept = apply_filters(df, {name: options})
+    return apply_mask(kept, list(values), F.col("keep")).drop("keep")
+
+
 def apply_filters(df: DataFrame, config: dict[str, dict] | None = None, window=("animalday", "frag_idx"), recording=("animal", "channel"), own: list[Callable[[DataFrame], Column]] = (), bad: DataFrame | None = None) -> DataFrame:
     """df with keep: the named filters and own ones, combined, then min_valid_channels and morphology if configured.
 

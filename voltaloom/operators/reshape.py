@@ -41,6 +41,12 @@ def pivot(df: DataFrame, index: list[str], column: Column, values: list[str], va
     return df.groupBy(*index).pivot(column, values).agg(F.avg(value))
 
 
+def band_columns(long: DataFrame, feature: str, keys: list[str], bands: list[str] = tuple(C.BANDS)) -> DataFrame:
+    """keys and a column feature_band for each band of a banded or coherence feature: the average of its rows; null where a band has none."""
+    of = long.where(F.col("feature") == feature)
+    return of.groupBy(*keys).agg(*(F.avg(F.when(F.col("band") == b, F.col("value"))).alias(f"{feature}_{b}") for b in bands))
+
+
 def timeseries(long: DataFrame, feature: str, groupby: list[str], channels: list[str] | None = None, collapse: bool = False, average: bool = False, strict: bool = False) -> DataFrame:
     """Rows of one feature of a long table for plots and tests: groupby columns, channel, band where there are bands, value.
 

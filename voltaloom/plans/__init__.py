@@ -1,5 +1,5 @@
 """Queries over the driver's tables with their SQL; importing the package registers those of all its modules."""
 
-from voltaloom.plans import plot_queries, queries, session_queries
+from voltaloom.plans import plot_queries, queries, session_queries, stream_queries
 
-__all__ = ["plot_queries", "queries", "session_queries"]
+__all__ = ["plot_queries", "queries", "session_queries", "stream_queries"]

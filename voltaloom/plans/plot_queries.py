@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from voltaloom import constants as C
 from voltaloom.operators import blocked_spikes as BS
 from voltaloom.operators import channels as CH
+from voltaloom.operators import lof as L
+from voltaloom.operators import masks as M
 from voltaloom.operators import plots as P
 from voltaloom.operators import reshape as R
 from voltaloom.operators import spikes as S
 from voltaloom.operators import windows as W
 from voltaloom.plans.queries import DAILY, SESSION_SPAN, daily, query, r6, table
 from voltaloom.plans.session_queries import spike_pieces
+from voltaloom.sources import spike_results as SR
+from voltaloom.staging import shared_folder, staged
 
 
 def _long(spark, d):
@@ -142,3 +146,49 @@ def q121_spectrogram(spark, d):
 @query(f"WITH {DAILY} SELECT animal, day, 'rms_' || channel AS name, round(rms, 6) AS value FROM daily UNION ALL SELECT animal, day, 'ampvar_' || channel, round(ampvar, 6) FROM daily")
 def q122_flat_features(spark, d):
     return P.flat_features(_long(spark, d), ["animal", "day"]).withColumn("value", r6("value"))
+
+
+@query(f"WITH {DAILY} SELECT animal, day, channel, round(CASE WHEN coalesce(rms <= 100, true) THEN rms END, 6) AS rms FROM daily WHERE animal % 20 <> 3")
+def q125_staged_filter(spark, d):
+    """Cohorts of animals as stages; the first run computes all but one, the second one takes them from the manifest."""
+    days = daily(spark, d).withColumn("cohort", (F.col("animal") % 20).cast("string"))
+    files = table(spark, d, "events").groupBy((F.col("user_id") % 20).cast("string").alias("cohort")).agg(F.count("*").alias("n"), F.max("ts").alias("last")).where("cohort <> '3'")
+    folder = f"{shared_folder(spark)}/stages/{spark.sql('select uuid()').first()[0]}"
+    compute = lambda keys: M.filter_by(days.join(keys, "cohort", "left_semi"), "high_rms", ["rms"], most=100.0).select("cohort", "animal", "day", "channel", "rms")
+    staged(folder, files.where("cohort <> '4'"), "cohort", ["n", "last"], compute, {"most": 100})
+    return staged(folder, files, "cohort", ["n", "last"], compute, {"most": 100}).select("animal", "day", "channel", r6("rms").alias("rms"))
+
+
+@query("WITH c AS (SELECT user_id, event_type, max(event_id) + 1 AS samples FROM events GROUP BY ALL), s AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 150 GROUP BY ALL) SELECT CAST(c.user_id AS VARCHAR) AS animalday, c.event_type AS channel, coalesce(n, 0) AS nspike, CAST(coalesce(sum(n) OVER (PARTITION BY c.user_id), 0) AS BIGINT) AS total, round(coalesce(n, 0) / (samples / 512.0::DOUBLE), 6) AS rate FROM c LEFT JOIN s ON c.user_id = s.user_id AND c.event_type = s.event_type")
+def q126_spike_results(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("animalday"), F.col("event_type").alias("channel"), F.col("event_id").alias("sample_idx"), "value")
+    channels = e.groupBy("animalday", "channel").agg((F.max("sample_idx") + 1).alias("samples")).withColumn("f_s", F.lit(512.0))
+    spikes = e.where("value > 150").select("animalday", "channel", "sample_idx", (F.col("sample_idx") / 512.0).alias("t_s"))
+    folder = f"{shared_folder(spark)}/spikes/{spark.sql('select uuid()').first()[0]}"
+    SR.save_spikes(spikes.repartition("animalday"), channels, folder, {"least": 150})
+    found, looked_at, _ = SR.load_spikes(spark, folder)
+    return SR.counts(found, looked_at).withColumn("rate", r6("rate"))
+
+
+@query("WITH x AS (SELECT label, vec_id % 4 AS channel, ['delta', 'theta', 'alpha', 'beta', 'gamma'][unnest(range(1, 6))] AS band, unnest(embedding[1:5])::DOUBLE AS v FROM embeddings) SELECT label, channel, round(avg(v) FILTER (band = 'delta'), 6) AS cohere_delta, round(avg(v) FILTER (band = 'theta'), 6) AS cohere_theta, round(avg(v) FILTER (band = 'alpha'), 6) AS cohere_alpha, round(avg(v) FILTER (band = 'beta'), 6) AS cohere_beta, round(avg(v) FILTER (band = 'gamma'), 6) AS cohere_gamma FROM x GROUP BY ALL")
+def q127_band_columns(spark, d):
+    bands = F.array(*(F.lit(b) for b in C.BANDS))
+    long = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 4).alias("channel"), F.lit("cohere").alias("feature"), F.posexplode(F.slice("embedding", 1, 5)).alias("k", "value"))
+    long = long.withColumn("band", F.get(bands, F.col("k"))).withColumn("value", F.col("value").cast("double"))
+    wide = R.band_columns(long, "cohere", ["label", "channel"])
+    return wide.select("label", "channel", *(r6(c).alias(c) for c in wide.columns if c.startswith("cohere")))
+
+
+@query("WITH s AS (SELECT user_id AS animalday, event_type AS channel, max(value) / 150 AS lof FROM events GROUP BY ALL), m AS (SELECT DISTINCT user_id AS animalday, event_type AS channel FROM events WHERE event_id % 17 = 0), j AS (SELECT coalesce(s.animalday, m.animalday) AS animalday, coalesce(s.channel, m.channel) AS channel, m.animalday IS NOT NULL AS manual, s.animalday IS NOT NULL AND NOT coalesce(lof < 1.5, false) AS scored FROM s FULL JOIN m ON s.animalday = m.animalday AND s.channel = m.channel) SELECT *, CASE WHEN manual AND scored THEN 'both' WHEN manual THEN 'manual' WHEN scored THEN 'scored' ELSE 'neither' END AS kind FROM j")
+def q128_manual_and_scores(spark, d):
+    e = table(spark, d, "events")
+    scores = e.groupBy(F.col("user_id").alias("animalday"), F.col("event_type").alias("channel")).agg((F.max("value") / 150).alias("lof"))
+    manual = e.where("event_id % 17 = 0").select(F.col("user_id").alias("animalday"), F.col("event_type").alias("channel"))
+    return L.compare_manual(manual, scores, 1.5)
+
+
+@query("SELECT user_id AS animalday, array_to_string(list(event_type ORDER BY event_type), ',') AS channels, round(list_sum(list(m ORDER BY event_type)), 4) AS total FROM (SELECT user_id, event_type, max(value) AS m FROM events GROUP BY ALL) GROUP BY user_id")
+def q129_score_lists(spark, d):
+    scores = table(spark, d, "events").groupBy(F.col("user_id").alias("animalday"), F.col("event_type").alias("channel")).agg(F.max("value").alias("lof"))
+    lists = L.score_lists(scores)
+    return lists.select("animalday", F.array_join("channels", ",").alias("channels"), F.round(F.aggregate("lofs", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))

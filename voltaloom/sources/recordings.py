@@ -75,6 +75,30 @@ def read_metadata(spark: SparkSession, files: DataFrame) -> DataFrame:
     )
 
 
+#: A recording's metadata as JSON: what read_metadata gives, without the file it came from.
+META_JSON = "channels array<string>, n_channels int, f_s double, units string, to_uv double, precision string, ended timestamp_ntz, constant boolean"
+
+
+def metadata_to_json(meta: DataFrame) -> DataFrame:
+    """stem, session, file_idx, json of metadata as of read_metadata; what is missing is null in it."""
+    fields = [c.split()[0] for c in META_JSON.split(", ")]
+    return meta.select("stem", "session", "file_idx", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def metadata_from_json(rows: DataFrame) -> DataFrame:
+    """What metadata_to_json wrote; text that is no such JSON is an error."""
+    read = F.from_json("json", META_JSON, {"mode": "FAILFAST"})
+    return rows.select("stem", "session", "file_idx", read.alias("_m")).select("stem", "session", "file_idx", "_m.*")
+
+
+def metadata_of(spark: SparkSession, stem: str, channels: list[str], f_s: float, units: str = "µV", precision: str = "float32", session: str = "", file_idx: int = 0, ended=None) -> DataFrame:
+    """One recording's metadata from its parameters, as read_metadata would give it. Units that are not known are a ValueError."""
+    if units not in names.C.UNITS:
+        raise ValueError(f"unknown units {units!r}")
+    row = (stem, session, file_idx, list(channels), len(channels), float(f_s), units, names.C.UNITS[units], precision, ended, True)
+    return spark.createDataFrame([row], f"stem string, session string, file_idx int, {META_JSON}")
+
+
 def check_consistent(meta: DataFrame) -> None:
     """ValueError unless all files of a session agree in channels, units and precision; sample rates may differ."""
     mixed = meta.groupBy("session").agg(F.count_distinct(F.struct("n_channels", "channels", "units", "precision")).alias("n")).where("n > 1")

@@ -1 +1 @@
-"""Window features and spike clusters of streams."""
+"""Windows and clusters of events as they arrive; the same functions hold for tables."""
