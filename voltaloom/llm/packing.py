@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltaloom.llm.common import small
+from voltaloom.llm.common import materialize, small
 from voltaloom.llm.tokens import encoder
 
 TOKENS, SEGMENTS, WINDOW = 4096, 128, 512
+#: Turns of a conversation that one example holds.
+TURNS = 64
 
 
 class Packer:
@@ -108,7 +110,7 @@ def lay_out(pieces: list[tuple], limit: int):
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(path: str, end_id: int, limits: dict):
+def _pack(path: str, end_id: int, limits: dict, share: bool = False):
     def run(batches):
         enc, packer, base, made = encoder(path), Packer(**limits), TaskContext.get().partitionId() << 40, 0
         held: dict[int, tuple[int | None, np.ndarray, int]] = {}
@@ -139,7 +141,7 @@ def _pack(path: str, end_id: int, limits: dict):
             for lo in range(0, len(docs), 128):
                 for doc, ids, bear in zip(docs[lo : lo + 128], enc.encode(texts[lo : lo + 128]), loss[lo : lo + 128], strict=True):
                     held[row] = (doc, np.append(ids, ids.dtype.type(end_id)), len(ids) + 1)
-                    for s in packer.add(row, len(ids) + 1, None if bear is None else min(max(bear, 0), len(ids) + 1)):
+                    for s in packer.add(row, len(ids) + 1, None if bear is None else min(max(bear * (len(ids) + 1) if share else bear, 0), len(ids) + 1)):
                         put(s)
                     row += 1
             yield out()
@@ -150,6 +152,33 @@ def _pack(path: str, end_id: int, limits: dict):
     return run
 
 
+def conversation_examples(conversations: DataFrame, turns: int = TURNS, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Training examples of conversations (conv_id, turn, role, text): conv_id, part, text, loss_share.
+
+    An example is a conversation's turns numbered from part * turns, as many as `turns`, joined by line feeds, so the longest conversation is many examples. loss_share is the share of its
+    characters in turns by one of roles, 0 of an empty text. Null texts are empty; turns of one number stand in order of role and text; rows without
+    conv_id or turn are examples by themselves.
+    """
+    text, bears = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").isin(*roles), F.lit(False))
+    alone = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", F.floor(F.col("turn") / turns).cast("long").alias("part"), alone.alias("_alone"), F.struct("turn", "role", text.alias("text"), bears.alias("bears")).alias("t"))
+    each = rows.groupBy("conv_id", "part", "_alone").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x["text"]))
+    share = F.coalesce(F.try_divide(chars(F.filter("t", lambda x: x["bears"])), chars(F.col("t"))), F.lit(0.0))
+    return each.select("conv_id", "part", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), share.alias("loss_share"))
+
+
+def pack_conversations(conversations: DataFrame, path: str, end_id: int = 2, turns: int = TURNS, **limits) -> DataFrame:
+    """Pieces of packed sequences of conversation_examples: conv_id and part instead of doc_id, else as of pack_documents; loss_share of an example's tokens bear loss.
+
+    Examples are written first, so a task that is run again packs the same rows in the same order.
+    """
+    examples = materialize(conversation_examples(conversations, turns), "examples")
+    numbered = materialize(examples.withColumn("doc_id", F.monotonically_increasing_id()), "examples")
+    packed = numbered.select("doc_id", "text", F.col("loss_share").alias("loss")).mapInArrow(_pack(path, end_id, limits, True), _COLUMNS)
+    return packed.join(numbered.select("doc_id", "conv_id", "part", "loss_share"), "doc_id").drop("doc_id")
+
+
 def pack_documents(documents: DataFrame, path: str, end_id: int = 2, loss_tokens: Column | None = None, **limits) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 

@@ -51,6 +51,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def conversations_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: conversations packed so that at most a quarter of a sequence's tokens bear loss."""
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), tokenizer("word_bpe_49k.json"), loss=1024)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.learn(docs, labels.where(~held_out()))
@@ -91,7 +96,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_html_text, op3_licenses, op4_quality, op5_token_counts, op6_packing, op7_toxicity, op8_token_files, op9_line_dedup, op10_jaccard_join, op11_fill_in_middle, op12_weighted_samples, op13_hard_negatives)
+    found = (op1_decontamination, op2_html_text, op3_licenses, op4_quality, op5_token_counts, op6_packing, op7_toxicity, op8_token_files, op9_line_dedup, op10_jaccard_join, op11_fill_in_middle, op12_weighted_samples, op13_hard_negatives, conversations_packed)
     return {f.__name__: f for f in found}
 
 

@@ -202,7 +202,7 @@ def _sections(path: str, separator: str):
 def section_tokens(documents: DataFrame, path: str, separator: str = "\n") -> DataFrame:
     """Tokens of each section of each document: doc_id, section, start_char, end_char, n_tokens, doc_tokens.
 
-    A text is encoded once, whole; sections are parted by separator, which belongs to the section before it. A token that
+    Ids and spans are those of the whole text; sections are parted by separator, which belongs to the section before it. A token that
     crosses a boundary goes to the section with most of its characters, of equals the earlier. Null and empty texts
     are one section without tokens. Repeated rows and rows without doc_id are counted each.
     """
