@@ -1,7 +1,7 @@
 """Hard negatives of anchors, mined from a forest of vantage-point trees.
 
-Vectors get one more component, the root of the greatest squared norm less their own, so that all have one norm; an anchor gets a zero there. Its squared
-distance to a row is then its squared norm and theirs less twice their inner product: higher scores are nearer, and a window of scores is an annulus.
+Vectors get one more component, the root of the greatest squared norm less their own, so that all have one norm; an anchor is stretched to that norm and gets a zero there. Its
+squared distance to a row is then twice the squared norm less twice the stretched score: higher scores are nearer, and a window of scores is an annulus.
 A tree over a bounded sample deals all rows, by label, to blocks of about BLOCK rows; each block holds a vantage-point tree of its own with buckets
 of LEAF rows. Anchors come in broadcast chunks and pass over the written forest. In a block an anchor visits the buckets nearest first,
 leaves out those outside its annulus, and ends where no bucket can hold a better row than its k best so far, which it carries from block to block.
@@ -117,7 +117,10 @@ class Search:
     def __init__(self, q: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, most: float):
         self.q, self.own, self.low, self.high, self.k, self.most = q.astype(exact_type(most)), own, low, high, k, most
         x = q.astype(np.float64)
-        self.x, self.norm2 = x, (x * x).sum(1)
+        norm = np.sqrt((x * x).sum(1))
+        self.stretch = np.where(norm > 0, np.sqrt(most) / np.maximum(norm, 1e-300), 1.0)  # brings anchors to the rows' norm
+        self.x = x * self.stretch[:, None]
+        self.norm2 = (self.x * self.x).sum(1)
         self.best = np.full((len(q), k), -np.inf, object if exact_type(most) is object else np.float64)
         self.id = np.full((len(q), k), np.iinfo(np.int64).max)
 
@@ -132,8 +135,9 @@ class Search:
             lo, hi, dv = block.interval[at, :, 0][None], block.interval[at, :, 1][None], d[:, at, None]
             near = np.maximum(np.maximum(lo - dv, dv - np.where(np.isinf(hi), 0, hi)), near[:, :, None]).reshape(len(asked), -1)
             far = np.minimum(dv + hi, far[:, :, None]).reshape(len(asked), -1)
-        margin = 1e-9 * total + 1e-3
-        return (total - far * far) / 2 - margin, (total - near * near) / 2 + margin
+        twice = 2 * self.stretch[asked][:, None]
+        margin = 1e-9 * total / twice + 1e-3
+        return (total - far * far) / twice - margin, (total - near * near) / twice + margin
 
     def visit(self, block: Block, asked: np.ndarray) -> None:
         """Queries `asked` traverse the block's buckets nearest first, inside their annulus, while a bucket can still hold a better row."""
