@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltaloom.functions import kernels
 from voltaloom.operators import ranks
@@ -65,7 +66,7 @@ def with_pearson_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
         for pdf in batches:
             yield pdf.assign(p=[kernels.pearson_p(a, int(b)) if a == a else None for a, b in zip(pdf[r], pdf[n], strict=True)])
 
-    return df.mapInPandas(run, df.schema.add("p", "double"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("p", T.DoubleType())]))  # add would change the schema that df holds
 
 
 def geometric_z(value: str, keys: list[str]) -> F.Column:
