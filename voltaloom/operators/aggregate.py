@@ -43,6 +43,13 @@ def normalize_baseline(df: DataFrame, feature: str, keys: list[str], baseline: d
     return out.where(~is_base) if drop else out
 
 
+def exact_mean(value: str) -> Column:
+    """Mean of doubles, the same in any order of the rows where each has at most 8 decimals: their sum is then exact, so means half-way between two roundings stay there."""
+    d = F.col(value).try_cast("decimal(28,8)")
+    exact = F.bool_and(F.coalesce(d.cast("double") == F.col(value), F.col(value).isNull()))
+    return F.when(exact, F.avg(d).cast("double")).otherwise(F.avg(value))
+
+
 def animal_weights(df: DataFrame, animal: str = "animal") -> Column:
     return 1 / F.count("*").over(Window.partitionBy(animal)).cast("double")
 

@@ -68,7 +68,7 @@ def bad(score: Column, threshold: float) -> Column:
 
 
 def evaluate(scores: DataFrame, truth: DataFrame | None, threshold: float, abbreviations: dict[str, str] | None = None, bad: DataFrame | None = None) -> DataFrame:
-    """animalday, channel, lof, predicted (lof > threshold, or no finite score) and truth of each scored channel.
+    """animalday, channel, lof, predicted (lof > threshold, NaN included; false without a score) and truth of each scored channel.
 
     truth lists bad channels (animalday, channel), by name or abbreviation; where it is not given, `bad` does. A listed session that has no scores is an error.
     """
@@ -78,7 +78,7 @@ def evaluate(scores: DataFrame, truth: DataFrame | None, threshold: float, abbre
     short = F.col("channel") if not abbreviations else F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in sorted(abbreviations.items()) for x in p)), F.col("channel")), F.col("channel"))
     marked = checked.select("animalday", short.alias("_name")).distinct().withColumn("_bad", F.lit(True))
     named = scores.select("animalday", "channel", "lof", short.alias("_name")).join(marked, ["animalday", "_name"], "left")
-    return named.select("animalday", "channel", "lof", F.coalesce((F.col("lof") > threshold) | F.isnan("lof"), F.lit(True)).alias("predicted"), F.col("_bad").isNotNull().alias("truth"))
+    return named.select("animalday", "channel", "lof", F.coalesce(F.col("lof") > threshold, F.lit(False)).alias("predicted"), F.col("_bad").isNotNull().alias("truth"))
 
 
 def score_lists(scores: DataFrame) -> DataFrame:
