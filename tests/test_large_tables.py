@@ -2,6 +2,8 @@
 
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +35,18 @@ def test_means_of_any_doubles(spark):
     df = spark.createDataFrame([("a", 1e-12), ("a", 3e-12), ("b", float("inf")), ("c", float("nan")), ("d", None), ("e", 1e300), ("e", 1e300)], "k string, v double")
     got = {r.k: (r.exact, r.plain) for r in df.groupBy("k").agg(A.exact_mean("v").alias("exact"), F.avg("v").alias("plain")).collect()}
     assert all(x == y or (x != x and y != y) for x, y in got.values()) and got["a"][0] == 2e-12
+
+
+def test_blocks_are_worked_on_a_few_at_a_time():
+    from voltaloom.operators import blocked_spikes as BS
+
+    seen = []
+
+    def run(batches):
+        for pdf in batches:
+            seen.append(len(pdf))
+            yield pdf * 2
+
+    pdf = pd.DataFrame({"x": np.arange(100)})
+    got = pd.concat(BS._few(run)(iter([pdf, pdf.iloc[:0], pdf])))
+    assert list(got.x) == 2 * [2 * i for i in range(100)] and max(seen) <= BS.AT_ONCE

@@ -21,6 +21,17 @@ BLOCK = [*KEYS, "block"]
 _ID = "animalday string, channel string, block long"
 #: Channels of fewer samples have no spikes.
 LEAST_SAMPLES = 101
+#: Blocks that a worker holds at once beside the Arrow batch they came in (64 MB by default), whatever the number of blocks.
+AT_ONCE = 8
+
+
+def _few(run):
+    """run over AT_ONCE rows at a time: what it makes of blocks is some times their size, so it is not made for whole batches."""
+
+    def sliced(batches):
+        yield from run(pdf.iloc[lo : lo + AT_ONCE] for pdf in batches for lo in range(0, len(pdf), AT_ONCE))
+
+    return sliced
 
 
 def _end(block: Column, last: Column, total: Column, step: int) -> Column:
@@ -115,11 +126,11 @@ def zero_phase_blocks(blocks: DataFrame, sections: np.ndarray, pad: int) -> Data
             yield pdf.drop(columns=["r", "begin", "init"]).assign(x=out)
 
     shape = f"{_ID}, start long, total long, last long, x array<double>"
-    left = blocks.mapInPandas(leave, f"{_ID}, n long, r array<double>")
-    onward = blocks.join(_carried(left, sections, False), BLOCK).mapInPandas(forward, f"{shape}, r array<double>, begin array<double>")
+    left = blocks.mapInPandas(_few(leave), f"{_ID}, n long, r array<double>")
+    onward = blocks.join(_carried(left, sections, False), BLOCK).mapInPandas(_few(forward), f"{shape}, r array<double>, begin array<double>")
     onward = written(onward, "filter-forward")
     back = _carried(onward.select(*BLOCK, F.size("x").cast("long").alias("n"), "r"), sections, True)
-    return written(onward.join(back, BLOCK).mapInPandas(backward, shape), "filter-backward")
+    return written(onward.join(back, BLOCK).mapInPandas(_few(backward), shape), "filter-backward")
 
 
 def _sortable(x: np.ndarray) -> np.ndarray:
@@ -154,7 +165,7 @@ def order_statistics(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
                         out.append(pd.DataFrame({"animalday": day, "channel": channel, "j": j, "digit": digit.astype(np.int64), "n": n}))
                 yield pd.concat(out) if out else pd.DataFrame({"animalday": [], "channel": [], "j": [], "digit": [], "n": []})
 
-        counts = blocks.select(*KEYS, "e").join(state, KEYS).mapInPandas(count, "animalday string, channel string, j int, digit long, n long")
+        counts = blocks.select(*KEYS, "e").join(state, KEYS).mapInPandas(_few(count), "animalday string, channel string, j int, digit long, n long")
         w = Window.partitionBy(*KEYS, "j").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         below = counts.groupBy(*KEYS, "j", "digit").agg(F.sum("n").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
         each = below.join(state, KEYS).withColumn("at", F.get("left", F.col("j"))).where("below <= at and at < below + n")
@@ -230,7 +241,7 @@ def detect(
             yield pdf.assign(e=[_energies(np.asarray(r.x), r.lo, r.start, r.n, r.total, fs, hz, segment_s) for r in pdf.itertuples()])
 
     kept = f"{_ID}, start long, n long, total long, last long, lo long, x array<double>"
-    y = written(y.mapInPandas(energies, f"{kept}, e array<array<double>>"), "energies")
+    y = written(y.mapInPandas(_few(energies), f"{kept}, e array<array<double>>"), "energies")
     inner = F.first("total") - 3  # the greatest rank of the inner samples
     place = inner * F.lit(percentile / 100)
     ranks = y.groupBy(*KEYS).agg(place.alias("place"), inner.alias("most"))
@@ -263,7 +274,7 @@ def detect(
                 out += [(r.animalday, r.channel, int(at), r.total, r.last) for at in found]
             yield pd.DataFrame(out, columns=[*KEYS, "at", "total", "last"]).astype({"at": "int64", "total": "int64", "last": "int64"})
 
-    found = y.join(limits, KEYS).mapInPandas(refine, "animalday string, channel string, at long, total long, last long").distinct()
+    found = y.join(limits, KEYS).mapInPandas(_few(refine), "animalday string, channel string, at long, total long, last long").distinct()
     groups = S.clusters(found, KEYS, "at", gap).groupBy(*KEYS, "cluster").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.first("total").alias("all"), F.first("last").alias("end"))
     groups = groups.select(*KEYS, "cluster", F.greatest(F.col("a") - wide, F.lit(0)).alias("left"), F.least(F.col("b") + wide + 1, "all").alias("right"), "end")
     at = lambda p: F.least(F.floor(p / step), F.col("end"))
@@ -278,7 +289,7 @@ def detect(
                 out.append((r.animalday, r.channel, r.cluster, float(s.min()), a + int(np.argmin(s))))
             yield pd.DataFrame(out, columns=[*KEYS, "cluster", "low", "at"]).astype({"cluster": "int64", "low": "float64", "at": "int64"})
 
-    best = y.drop("e").join(parts, BLOCK).mapInPandas(lowest, "animalday string, channel string, cluster long, low double, at long")
+    best = y.drop("e").join(parts, BLOCK).mapInPandas(_few(lowest), "animalday string, channel string, cluster long, low double, at long")
     spikes = best.groupBy(*KEYS, "cluster").agg(F.min(F.struct("low", "at"))["at"].alias("sample_idx"))
     return spikes.select(*KEYS, "sample_idx", (F.col("sample_idx") / F.lit(float(fs))).alias("t_s"))
 
