@@ -50,3 +50,20 @@ def test_blocks_are_worked_on_a_few_at_a_time():
     pdf = pd.DataFrame({"x": np.arange(100)})
     got = pd.concat(BS._few(run)(iter([pdf, pdf.iloc[:0], pdf])))
     assert list(got.x) == 2 * [2 * i for i in range(100)] and max(seen) <= BS.AT_ONCE
+
+
+def test_pivots_travel_once_a_share(spark, monkeypatch):
+    from voltaloom.operators import neighbours as NB
+
+    monkeypatch.setattr(NB, "SHARE", 64)
+    rng = np.random.default_rng(3)
+    v, far = rng.normal(size=(700, 4)), 1 << 60  # ids beyond what a double holds
+    df = spark.createDataFrame([("g" if i % 7 else "h", far + i, v[i].tolist()) for i in range(700)], "g string, item long, v array<double>")
+    kept, plain = [], NB.written
+    monkeypatch.setattr(NB, "written", lambda t, name: kept.append((name, plain(t, name))) or kept[-1][1])
+    found = {(r.item, r.r): r.neighbour for r in NB.nearest(df, "g", "item", "v", 2, cell=32).collect()}
+    for i in (1, 7, 350, 699):
+        same = [j for j in range(700) if (j % 7 == 0) == (i % 7 == 0) and j != i]
+        want = sorted(same, key=lambda j: (((v[i] - v[j]) ** 2).sum(), j))[:2]
+        assert [found[far + i, r] for r in (1, 2)] == [far + j for j in want]
+    assert dict(kept)["cells"].count() == 700

@@ -16,6 +16,8 @@ from voltaloom.staging import written
 
 #: Rows of a cell and of a block of it, about, and the most pivots of a group.
 CELL, MAX_PIVOTS = 512, 1024
+#: Rows that meet the pivots in one task's memory, about.
+SHARE = 4096
 
 
 def _stack(vectors) -> np.ndarray:
@@ -57,21 +59,20 @@ def nearest(vectors: DataFrame, group: str, item: str, vector: str, k: int, cell
     order = Window.partitionBy("g").orderBy("h", "i")
     pivots = few.withColumn("c", F.row_number().over(order)).where(F.col("c") <= F.col("p")).select("g", "c", "v")
     pivots = written(pivots, "pivots")
-    packed = pivots.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("pivots"))  # MAX_PIVOTS at most
-
-    def deal(batches):
-        for pdf in batches:
-            cells, far = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
-            for g in pdf.g.unique():
-                at = np.flatnonzero((pdf.g == g).to_numpy())
-                own = pdf.pivots.iloc[at[0]]
-                v, p = _stack(pdf.v.iloc[at]), _stack([x["v"] for x in own])
-                best = np.argmin((p * p).sum(1) - 2 * v @ p.T, axis=1)
-                cells[at] = np.array([x["c"] for x in own])[best]
-                far[at] = np.sqrt(((v - p[best]) ** 2).sum(1))
-            yield pdf[["g", "i", "v"]].assign(c=cells, far=far)
-
-    dealt = written(rows.join(packed, "g").mapInPandas(deal, f"g {label}, i long, v array<double>, c long, far double"), "cells")
+    # Rows meet their group's pivots a share at a time, so pivots travel once a share and not once a row.
+    shares = total.select("g", F.ceil(F.col("n") / SHARE).alias("shares"))
+    own = rows.join(shares, "g").select("g", F.pmod(F.xxhash64("i"), F.col("shares")).alias("s"), "i", F.lit(0).cast("long").alias("c"), "v")  # pivots count from 1
+    given = pivots.join(shares, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("s"), F.lit(0).cast("long").alias("i"), F.col("c").cast("long").alias("c"), "v")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pivot, pdf = pdf[pdf.c > 0].sort_values("c"), pdf[pdf.c == 0]
+        if not len(pdf):
+            return pd.DataFrame({"g": [], "i": [], "v": [], "c": [], "far": []})
+        v, p = _stack(pdf.v), _stack(pivot.v)
+        best = np.argmin((p * p).sum(1) - 2 * v @ p.T, axis=1)
+        return pd.DataFrame({"g": pdf.g, "i": pdf.i, "v": pdf.v, "c": pivot.c.to_numpy()[best], "far": np.sqrt(((v - p[best]) ** 2).sum(1))})
+
+    dealt = written(own.unionByName(given).groupBy("g", "s").applyInPandas(deal, f"g {label}, i long, v array<double>, c long, far double"), "cells")
     blocks_of = dealt.groupBy("g", "c").agg(F.ceil(F.count("*") / (2 * cell)).alias("blocks"))
     numbered = dealt.join(blocks_of, ["g", "c"]).withColumn("b", F.pmod(F.xxhash64("i"), F.col("blocks")))
 
@@ -96,16 +97,14 @@ def nearest(vectors: DataFrame, group: str, item: str, vector: str, k: int, cell
 
     def compare(batches):
         for pdf in batches:
-            out = [pd.DataFrame({"g": [], "i": [], "neighbour": [], "d": []})]
-            for r in pdf.itertuples():
+            for r in pdf.itertuples():  # blocks are large; what is found goes on at once
                 q_ids, ids = np.asarray(r.q_ids), np.asarray(r.ids)
                 q, x, bound, q_far, far = np.asarray(r.q).reshape(len(q_ids), -1), np.asarray(r.x).reshape(len(ids), -1), np.asarray(r.bound), np.asarray(r.q_far), np.asarray(r.far)
                 asked = r.apart - q_far - far.max() <= bound * (1 + 1e-9) + 1e-9
                 given = r.apart - far - q_far.max() <= bound.max() * (1 + 1e-9) + 1e-9
                 if asked.any() and given.any():
                     i, near, d = nearest_of(q[asked], q_ids[asked], x[given], ids[given], k, bound[asked])
-                    out.append(pd.DataFrame({"g": r.g, "i": q_ids[asked][i], "neighbour": near, "d": d}))
-            yield pd.concat(out).astype({"i": "int64", "neighbour": "int64", "d": "float64"})
+                    yield pd.DataFrame({"g": r.g, "i": q_ids[asked][i], "neighbour": near, "d": d}).astype({"i": "int64", "neighbour": "int64", "d": "float64"})
 
     found = pairs.join(left, ["g", "cq", "bq"]).join(right, ["g", "cx", "bx"]).select("g", "q_ids", "q", "q_far", "bound", "ids", "x", "far", "apart").mapInPandas(compare, f"g {label}, i long, neighbour long, d double")
     best = Window.partitionBy("g", "i").orderBy("d", "neighbour")
