@@ -67,3 +67,15 @@ def test_pivots_travel_once_a_share(spark, monkeypatch):
         want = sorted(same, key=lambda j: (((v[i] - v[j]) ** 2).sum(), j))[:2]
         assert [found[far + i, r] for r in (1, 2)] == [far + j for j in want]
     assert dict(kept)["cells"].count() == 700
+
+
+def test_spike_results_have_no_folder_a_session(spark, tmp_path):
+    from voltaloom.sources import spike_results as SR
+
+    days = [f"d{i}" for i in range(60)]
+    spikes = spark.createDataFrame([(d, "a", 10 * i + k, 0.1) for i, d in enumerate(days) for k in (3, 1, 2)], "animalday string, channel string, sample_idx long, t_s double").repartition(9)
+    channels = spark.createDataFrame([(d, "a", 100.0, 1000) for d in days], "animalday string, channel string, f_s double, samples long")
+    SR.save_spikes(spikes, channels, f"file://{tmp_path}/r", {})
+    assert not list(tmp_path.glob("r/spikes/animalday=*")) and len(list(tmp_path.glob("r/spikes/*.parquet"))) <= 4
+    found, _, _ = SR.load_spikes(spark, f"file://{tmp_path}/r")
+    assert sorted(map(tuple, found.select(*spikes.columns).collect())) == sorted(map(tuple, spikes.collect()))

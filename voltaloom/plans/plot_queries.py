@@ -165,7 +165,7 @@ def q126_spike_results(spark, d):
     channels = e.groupBy("animalday", "channel").agg((F.max("sample_idx") + 1).alias("samples")).withColumn("f_s", F.lit(512.0))
     spikes = e.where("value > 150").select("animalday", "channel", "sample_idx", (F.col("sample_idx") / 512.0).alias("t_s"))
     folder = f"{shared_folder(spark)}/spikes/{spark.sql('select uuid()').first()[0]}"
-    SR.save_spikes(spikes.repartition("animalday"), channels, folder, {"least": 150})
+    SR.save_spikes(spikes, channels, folder, {"least": 150})
     found, looked_at, _ = SR.load_spikes(spark, folder)
     return SR.counts(found, looked_at).withColumn("rate", r6("rate"))
 

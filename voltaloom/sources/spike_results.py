@@ -21,7 +21,8 @@ def save_spikes(spikes: DataFrame, channels: DataFrame, folder: str, params: dic
     checked = spikes.join(known.select("animalday", "channel", "samples"), ["animalday", "channel"], "left")
     checked = checked.withColumn("sample_idx", F.when(inside, F.col("sample_idx")).otherwise(F.raise_error(F.lit("a spike lies outside its channel")).cast("long"))).drop("samples")
     known.write.mode(mode).parquet(f"{folder}/channels")
-    checked.write.mode(mode).partitionBy("animalday").parquet(f"{folder}/spikes")
+    # In ranges of sessions, not a folder a session: files stay few however many sessions there are, and their statistics still tell a reader which ones hold a session.
+    checked.repartitionByRange("animalday", "channel").sortWithinPartitions("animalday", "channel", "sample_idx").write.mode(mode).parquet(f"{folder}/spikes")
     spikes.sparkSession.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(f"{folder}/_params")
 
 
