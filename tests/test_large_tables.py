@@ -79,3 +79,23 @@ def test_spike_results_have_no_folder_a_session(spark, tmp_path):
     assert not list(tmp_path.glob("r/spikes/animalday=*")) and len(list(tmp_path.glob("r/spikes/*.parquet"))) <= 4
     found, _, _ = SR.load_spikes(spark, f"file://{tmp_path}/r")
     assert sorted(map(tuple, found.select(*spikes.columns).collect())) == sorted(map(tuple, spikes.collect()))
+
+
+def planned(spark, df, threshold):
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, threshold)
+    try:
+        return df()._jdf.queryExecution().sparkPlan().toString(), df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_few_baseline_keys_gather_no_rows(spark):
+    from voltaloom.operators import aggregate as A
+
+    df = spark.range(50_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 3).alias("flag"), F.col("id").cast("double").alias("v"))
+    first, whole = planned(spark, lambda: A.normalize_baseline(df, "v", ["k"], {"flag": 0}), "100000")
+    assert "BroadcastHashJoin" in first and "hashpartitioning(k" not in whole
+    means = {r.k: r.m for r in df.where("flag = 0").groupBy("k").agg(F.avg("v").alias("m")).collect()}
+    got = A.normalize_baseline(df, "v", ["k"], {"flag": 0}).groupBy("k").agg(F.min("v").alias("v"), F.count("*").alias("n")).collect()
+    assert {(r.k, r.v, r.n) for r in got} == {(k, k - means[k], 25_000) for k in (0, 1)}

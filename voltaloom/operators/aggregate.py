@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltaloom.operators import ranks
+from voltaloom.staging import written
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -30,7 +31,10 @@ def collapse_matrix(df: DataFrame, keys: list[str], value: str, first: str = "ch
 
 
 def normalize_baseline(df: DataFrame, feature: str, keys: list[str], baseline: dict[str, object], how: str = "subtract", drop: bool = False) -> DataFrame:
-    """Feature less (or over) its mean among the rows with the baseline's values, by keys; without keys one mean for all."""
+    """Feature less (or over) its mean among the rows with the baseline's values, by keys; without keys one mean for all.
+
+    The means are written first: their size is known where the join is planned, so a few keys do not gather all rows in as many tasks.
+    """
     if how not in ("subtract", "divide"):
         raise ValueError(how)
     is_base = F.lit(True)
@@ -38,7 +42,7 @@ def normalize_baseline(df: DataFrame, feature: str, keys: list[str], baseline: d
         is_base = is_base & (F.col(k) == F.lit(v))
     base = df.where(is_base)
     mean = F.avg(feature).alias("_base")
-    joined = df.join(base.groupBy(*keys).agg(mean), keys, "left") if keys else df.crossJoin(F.broadcast(base.agg(mean)))  # one row
+    joined = df.join(written(base.groupBy(*keys).agg(mean), "baseline"), keys, "left") if keys else df.crossJoin(F.broadcast(base.agg(mean)))  # one row
     out = joined.withColumn(feature, F.col(feature) - F.col("_base") if how == "subtract" else F.try_divide(F.col(feature), F.col("_base"))).drop("_base")
     return out.where(~is_base) if drop else out
 
