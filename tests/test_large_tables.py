@@ -99,3 +99,8 @@ def test_few_baseline_keys_gather_no_rows(spark):
     means = {r.k: r.m for r in df.where("flag = 0").groupBy("k").agg(F.avg("v").alias("m")).collect()}
     got = A.normalize_baseline(df, "v", ["k"], {"flag": 0}).groupBy("k").agg(F.min("v").alias("v"), F.count("*").alias("n")).collect()
     assert {(r.k, r.v, r.n) for r in got} == {(k, k - means[k], 25_000) for k in (0, 1)}
+
+
+def test_stated_timestamps_sort_the_files_once(spark):
+    _, whole = planned(spark, lambda: entry.queries()["q111_manual_timestamps"](spark, "/root/testdata/sf0.001"), "-1")
+    assert whole.count("Sort [") == 2 and whole.count("Window [") >= 1

@@ -58,9 +58,11 @@ def q110_sex_and_gene(spark, d):
 @query("WITH f AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS cum, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(cum AS BIGINT)) AS from_start, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(cum - total AS BIGINT)) AS to_end FROM f JOIN orders ON l_orderkey = o_orderkey")
 def q111_manual_timestamps(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("timestamp_ntz").alias("anchor"))
-    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q")).join(o, "l_orderkey")
-    spread = lambda x, start, name: W.manual_timestamps(x, "l_orderkey", "l_linenumber", "q", F.col("anchor"), start).withColumnRenamed("end_ts", name)
-    return spread(spread(f, True, "from_start"), False, "to_end").drop("anchor", "q")
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    spread = lambda start: W.spread_seconds("l_orderkey", "l_linenumber", "q", start)
+    f = f.select("l_orderkey", "l_linenumber", spread(True).alias("after"), spread(False).alias("before")).join(o, "l_orderkey")
+    at = lambda seconds, name: W.shifted(F.col("anchor"), F.col(seconds)).alias(name)
+    return f.select("l_orderkey", "l_linenumber", at("after", "from_start"), at("before", "to_end"))
 
 
 @query("SELECT user_id, CAST(floor((epoch_us(ts) / 1e6 - 1704067200) / 3600) AS BIGINT) AS frag_idx, count(*) AS nspike FROM events GROUP BY ALL")
