@@ -104,3 +104,17 @@ def test_few_baseline_keys_gather_no_rows(spark):
 def test_stated_timestamps_sort_the_files_once(spark):
     _, whole = planned(spark, lambda: entry.queries()["q111_manual_timestamps"](spark, "/root/testdata/sf0.001"), "-1")
     assert whole.count("Sort [") == 2 and whole.count("Window [") >= 1
+
+
+def test_all_pairs_send_a_vector_to_few_tasks(spark, tmp_path, monkeypatch):
+    from voltaloom.plans import queries as Q
+
+    monkeypatch.setattr(Q, "PAIR_BLOCK", 10)
+    monkeypatch.setattr(Q, "PAIR_PARTS", 3, raising=False)
+    x = np.random.default_rng(4).normal(size=(240, 16))
+    pd.DataFrame({"vec_id": np.arange(240), "embedding": list(x.astype("float32")), "label": (np.arange(240) % 2).astype("int32")}).to_parquet(tmp_path / "embeddings.parquet")
+    found, want = Q._all_pairs(spark, str(tmp_path)), np.corrcoef(x.astype("float32").astype(float))
+    assert "sequence(0, 2," in found._jdf.queryExecution().analyzed().toString()  # three parts
+    got = [(r.c1, r.c2) for r in found.where("r is not null").collect()]
+    assert sorted(got) == [(i, j) for i in range(240) for j in range(i) if i % 2 == j % 2]
+    assert all(abs(r.r - want[r.c1, r.c2]) < 1e-9 for r in found.limit(500).collect())
