@@ -118,3 +118,35 @@ def test_all_pairs_send_a_vector_to_few_tasks(spark, tmp_path, monkeypatch):
     got = [(r.c1, r.c2) for r in found.where("r is not null").collect()]
     assert sorted(got) == [(i, j) for i in range(240) for j in range(i) if i % 2 == j % 2]
     assert all(abs(r.r - want[r.c1, r.c2]) < 1e-9 for r in found.limit(500).collect())
+
+
+@pytest.mark.parametrize("name, value", [("q63_pcorr_pairs_all", "r")])
+def test_all_pairs_shuffle_a_vector_once(spark, tmp_path, monkeypatch, name, value):
+    from voltaloom.plans import queries as Q
+
+    monkeypatch.setattr(Q, "PAIR_BLOCK", 10)
+    monkeypatch.setattr(Q, "PAIR_SHARE", 60, raising=False)
+    rng = np.random.default_rng(5)
+    x, labels = rng.normal(size=(200, 16)), np.repeat([0, 1, 2, 3], [130, 55, 10, 5])  # two labels of several blocks, two of one
+    far = (1 << 60) + rng.permutation(200)  # ids beyond what a double holds
+    vectors = [v[: 16 - i % 3].tolist() for i, v in enumerate(x)]
+    vectors[7][2], vectors[140][3] = None, None
+    df = spark.createDataFrame([(int(far[i]), v, int(labels[i])) for i, v in enumerate(vectors)] + [(1, [], 0), (2, None, 0), (None, [1.0, 2.0], 0), (3, [1.0, 2.0], None)], "vec_id long, embedding array<double>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = Q.QUERIES[name](spark, str(tmp_path))
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in lines]
+    for at, line in enumerate(lines):
+        if "Exchange " in line:
+            below = next((k for k in range(at + 1, len(lines)) if depth[k] <= depth[at]), len(lines))
+            assert not any("Generate " in deeper for deeper in lines[at + 1 : below])  # no copies of a vector are shuffled
+    got = {(r.label, r.c1, r.c2): r[value] for r in found.collect()}
+
+    def corr(i, j):
+        a, b = (np.array([np.nan if e is None else e for e in vectors[k]] + [np.nan] * (16 - len(vectors[k]))) for k in (i, j))
+        ok = ~np.isnan(a) & ~np.isnan(b)
+        return np.corrcoef(a[ok], b[ok])[0, 1]
+
+    want = {(int(labels[i]), int(max(far[i], far[j])), int(min(far[i], far[j]))): corr(i, j) for i in range(200) for j in range(i) if labels[i] == labels[j]}
+    assert got.keys() == want.keys() and found.count() == len(want)
+    assert all(abs(got[k] - (r if value == "r" else np.arctanh(r))) < 2e-6 for k, r in want.items())
