@@ -120,7 +120,7 @@ def test_all_pairs_send_a_vector_to_few_tasks(spark, tmp_path, monkeypatch):
     assert all(abs(r.r - want[r.c1, r.c2]) < 1e-9 for r in found.limit(500).collect())
 
 
-@pytest.mark.parametrize("name, value", [("q63_pcorr_pairs_all", "r")])
+@pytest.mark.parametrize("name, value", [("q63_pcorr_pairs_all", "r"), ("q64_zpcorr_all", "z")])
 def test_all_pairs_shuffle_a_vector_once(spark, tmp_path, monkeypatch, name, value):
     from voltaloom.plans import queries as Q
 
